@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from . import chat_format, mixing, nn_descent, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, warc
 
-MODULES = (simhash, chat_format, quality_rules, warc, substring_dedup, quality_classifier, mixing)
+MODULES = (simhash, chat_format, quality_rules, warc, pii, nn_descent, substring_dedup, quality_classifier, packing, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
