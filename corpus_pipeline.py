@@ -1,9 +1,57 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixture, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last
+return the columns of documents. run() writes each stage as Parquet in the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinfold.llm import mixing, packing, pii, quality_classifier, simhash_similar
+from twinfold.llm.common import durable, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; equal ids are judged together, by their lowest score."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rejected = durable(quality_classifier.classify(docs, labels).where("predicted = 0").select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, that with the smallest id; rows without an id stay."""
+    classes = simhash_similar.similar_classes(docs)
+    gone = durable(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are replaced; n_chars counts the new text."""
+    return pii.sanitise(docs).withColumn("text", F.col("clean_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its Poisson count, in global random order."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packing", packed)]
+
+#: The classifier, the tokenizer and the packing aren't expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
