@@ -12,10 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker expands into word arrays at once (a single longer text is one slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Bytes that travel to Python at once; Spark's own default holds tens of MB of texts several times over.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +44,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, lost executors cost nothing that is written."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

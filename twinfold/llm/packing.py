@@ -40,9 +40,11 @@ CLASSES = LENGTH // STEP
 CUT = 128  # ids; cuts lie at multiples
 CUT_COST = 0.002  # sequences
 SALTS = 64
-#: Characters on which both libraries cut and encode alike; a run of 400 goes to tokenizers as well.
-_COMMON = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]")
-_LONG = re.compile(r"\S{400}|\s{400}|[^\w\s]{400}")
+#: Characters on which both libraries cut and encode alike.
+_UNCOMMON = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]")
+#: Runs of blanks or of other characters from this length on go to tokenizers as well.
+LONG_RUN = 400
+_BLANKS = re.compile(r"\s{%d}" % LONG_RUN)
 BATCH = 256
 
 
@@ -50,26 +52,35 @@ class Encoder:
     """Ids of texts by a tokenizers file, faster where that is safe."""
 
     def __init__(self, path: str, ranks: str | None):
-        import base64
-
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
         if ranks:
+            import base64
+            import json
+
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            with open(path, encoding="utf-8") as file:
+                special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens=special)
 
-    def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and not _COMMON.search(text) and not _LONG.search(text):
-            return self.fast.encode(text, allowed_special="all")
+    def safe(self, text: str) -> bool:
+        if not text.isascii() and _UNCOMMON.search(text):
+            return False
+        return max(map(len, text.split()), default=0) < LONG_RUN and not _BLANKS.search(text)
+
+    def exact(self, text: str) -> list[int]:
+        if self.slow is None:  # loaded by the first text that needs it
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    def __call__(self, text: str) -> list[int]:
+        return self.fast.encode(text, allowed_special="all") if self.fast is not None and self.safe(text) else self.exact(text)
+
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -169,12 +180,10 @@ def knapsack(prices: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
     return float(best[size]), pattern
 
 
-def solve(demand: np.ndarray, size: int = CLASSES, cut: int = CUT // STEP, most: int = 5000) -> tuple[list[tuple[dict[int, int], float]], list[tuple[int, int, float]]]:
+def solve(demand: np.ndarray, size: int = CLASSES, cut: int = CUT // STEP, most: int = 5000, cuts: bool = True) -> tuple[list[tuple[dict[int, int], float]], list[tuple[int, int, float]]]:
     """Column generation. demand[c - 1]: rests of class c. Returns patterns and cuts (class, class of the head) with how often, not yet whole numbers."""
-    rows = np.flatnonzero(demand > 0)
-    if not len(rows):
+    if not (demand > 0).any():
         return [], []
-    lowest = int(rows[0]) + 1
     m = size - 1  # classes 1 .. size - 1; a cut may make rests of classes that nothing had
     d = demand[:m].astype(float)
     # start: each class by itself; a class without demand costs nothing at 0
@@ -184,8 +193,8 @@ def solve(demand: np.ndarray, size: int = CLASSES, cut: int = CUT // STEP, most:
     costs = np.ones(m)
     x = inverse @ d
     heads = np.arange(cut, m, cut)
-    pair = [(int(c), int(h)) for c in range(cut + 1, m + 1) for h in heads if h < c]
-    pc, ph = np.array([p[0] for p in pair]), np.array([p[1] for p in pair])
+    pair = [(int(c), int(h)) for c in range(cut + 1, m + 1) for h in heads if h < c and cuts]
+    pc, ph = np.array([p[0] for p in pair], np.int64), np.array([p[1] for p in pair], np.int64)
     for _ in range(most):
         dual = costs @ inverse
         entry = np.zeros(m)
@@ -225,13 +234,13 @@ def solve(demand: np.ndarray, size: int = CLASSES, cut: int = CUT // STEP, most:
         columns.append(column)
         base[out] = len(columns) - 1
         costs[out] = cost
-    patterns, cuts = [], []
+    patterns, made = [], []
     for k, n in zip(base, x, strict=True):
         if n > 1e-9 and columns[k][0] == "p":
             patterns.append((columns[k][1], float(n)))
         elif n > 1e-9 and columns[k][0] == "c":
-            cuts.append((columns[k][1], columns[k][2], float(n)))
-    return patterns, cuts
+            made.append((columns[k][1], columns[k][2], float(n)))
+    return patterns, made
 
 
 def whole_cuts(cuts: list[tuple[int, int, float]], demand: np.ndarray) -> dict[int, list[tuple[int, int]]]:
@@ -335,6 +344,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if chosen:
         made = with_class(durable(cut_pieces(salt_ranks(made, order), chosen), "cut-pieces"))
         demand = histogram(made)
+        patterns, _ = solve(np.append(demand[:-1], 0), cuts=False)  # for the rests as they are now
     rows, at, used = [], 0, np.zeros(CLASSES, np.int64)
     for pattern, n in whole_patterns(patterns, demand):
         for c, k in pattern.items():
