@@ -203,10 +203,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = durable(without_repeats(keyed.select("c", "text").join(at, "c").select("c", "text", "at", "copied")), "factored-texts")
     release(docs.sparkSession, blocks, at)
     windows = durable(boundary_windows(candidates, window, gram), "boundaries")
-    place = F.struct("c", "start")
+    place = F.xxhash64("c", "start")
     equal = windows.groupBy("h", "v").agg(F.max("copied").alias("copied"), F.min(place).alias("low"), F.max(place).alias("high")).where("copied or low <> high").select("h", "v")
+    equal = durable(equal, "equal-windows")
+    release(docs.sparkSession)  # the shuffle above isn't needed any more
     starts = durable(windows.join(equal, ["h", "v"], "left_semi").groupBy("c").agg(F.collect_set("start").alias("starts")), "starts")
-    release(docs.sparkSession, windows)
+    release(docs.sparkSession, windows, equal)
     found = durable(factored(candidates.join(starts, "c", "left").select("c", "text", "at", "starts", "copied"), window, gram).dropDuplicates(["c"]), "spans")
     release(docs.sparkSession, candidates, starts)
     out = indexed.join(found, "c", "left")

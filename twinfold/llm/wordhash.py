@@ -19,7 +19,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if which not in _powers or len(_powers[which][0]) < n:
-        size, out = 1 << max(12, int(n - 1).bit_length()), []
+        size, out = (n + 65535) >> 16 << 16, []
         for base in (BASES[which], pow(BASES[which], -1, 1 << 64)):
             p = np.full(size, base, U)
             p[0] = 1
