@@ -103,14 +103,28 @@ def disclosing(keyed: DataFrame, near: DataFrame, min_surroundings: int) -> Data
     """(entity, term, remove): the terms beyond a threshold. keyed: key, text, one row for each row of the corpus."""
     told = near.select("key", "entity", "around", F.explode(F.array_distinct("terms")).alias("term"))
     apart = told.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count("*").alias("apart")).where(F.col("apart") >= min_surroundings)
-    pairs = durable(told.join(apart, ["entity", "term"]).select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")), "co-occurrence")
     n_e = near.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    held = keyed.select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi")
-    n_t = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     n = keyed.select(F.countDistinct("key").alias("n"))
-    pmi = F.ln(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ic = F.ln(F.col("n") / F.col("n_e"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").join(F.broadcast(n)).where((ic > 0) & (pmi >= ic / GENERALISE))  # n is one row
+    # a term lies in no fewer texts than it is near any entity in: what fails with those fails with all
+    least = told.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = told.join(apart, ["entity", "term"]).select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = pairs.join(n_e, "entity").join(least, "term").join(F.broadcast(n))  # n is one row
+    def possible(count: str) -> Column:
+        return (ic > 0) & (F.ln(F.col("n") * F.col("n_te") / (F.col(count) * F.col("n_e"))) >= ic / GENERALISE)
+
+    def counted(texts: DataFrame, terms: DataFrame) -> DataFrame:
+        held = texts.select("key", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+        return held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+
+    pairs = durable(pairs.where(possible("n_near")), "co-occurrence")
+    # neither does it lie in fewer than in a sixteenth of the texts, which is soon counted
+    some = counted(keyed.where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0), pairs)
+    pairs = pairs.join(some, "term", "left").withColumn("n_near", F.greatest("n_near", F.coalesce("n_t", F.lit(0))))
+    pairs = durable(pairs.where(possible("n_near")).drop("n_near", "n_t"), "co-occurrence")
+    n_t = counted(keyed, pairs)
+    pmi = F.ln(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    scored = pairs.join(n_t, "term").where(pmi >= ic / GENERALISE)
     return scored.select("entity", "term", (pmi >= ic / REMOVE).alias("remove"))
 
 
