@@ -3,10 +3,10 @@
 At a Jaccard similarity of 0.8 two SimHashes differ in some 15 % of their bits: ten of 64, too many for a
 join of nearby fingerprints. So a text gets a long fingerprint, cut into tables of a few bits each: as many
 bits as tell all rows apart, and as many tables as find a pair at the similarity with 95 % chance (nearer pairs
-sooner). Texts equal in one table are compared by segments of the fingerprint, and what remains by all of its bits:
-a pair links if they differ in no more than the share that the similarity expects. Groups in a table
-beyond PAIR_GROUP tie their rows to leaders, each the first that no earlier leader was near to.
-Equal fingerprints are one node from the start; components are found by star rounds.
+sooner). Texts equal in one table are compared by all bits: a pair links if they differ in no more than the
+share that the similarity expects. Of such links only those leave a table that connect what is not yet
+connected, so a group makes fewer links than it has rows. Groups in a table beyond PAIR_GROUP compare their
+rows with leaders, each the first that no earlier leader was near to. Equal fingerprints are one node from the start; components are found by star rounds.
 
 Texts: as for the fingerprints of 64 bits, with hashes of shingles that are polynomials. A null or empty
 text has no shingle and is no one's duplicate but of other empty texts. Rows with a null id belong to no class
@@ -28,9 +28,7 @@ from .common import durable, text_slices
 from .components import components
 
 SHINGLE_WORDS, SIMILARITY, CHANCE = 5, 0.8, 0.95
-PAIR_GROUP, SKETCH = 64, 3
-#: Standard deviations that a sketch's distance may lie above what the similarity expects.
-SKETCH_SLACK = 4.0
+PAIR_GROUP = 64
 #: The eight bits of a byte as eight byte lanes.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
 
@@ -89,7 +87,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
 
 
 def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
-    """(key, node, s0, s1, ...): a row for each table of each fingerprint; the key holds the table's number."""
+    """(key, node, f): a row for each table of each fingerprint; the key holds the table's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,76 +95,72 @@ def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : key_bits * tables].reshape(part.num_rows, tables, key_bits)
                 keys = (bits.astype(np.int64) << np.arange(key_bits)).sum(2) | (np.arange(tables, dtype=np.int64) << key_bits)
-                sketch = np.ascontiguousarray(raw[:, : 8 * SKETCH]).view(np.int64)
-                row = np.repeat(np.arange(part.num_rows), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(pa.array(row)), *(pa.array(sketch[row, k]) for k in range(SKETCH))], names=["key", "node", *(f"s{k}" for k in range(SKETCH))])
-
-    return nodes.select("node", "f").mapInArrow(run, "key long, node long, " + ", ".join(f"s{k} long" for k in range(SKETCH)))
+                row = pa.array(np.repeat(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(row), part.column(1).take(row)], names=["key", "node", "f"])
+
+    return nodes.select("node", "f").mapInArrow(run, "key long, node long, f binary")
+
+
+def forest(node: np.ndarray, f: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Links that connect what lies within most bits of a leader. Up to PAIR_GROUP rows, each is a leader; beyond, each that
+    no earlier leader was near to. A link that would close a circle is not made."""
+    n = len(node)
+    label, covered = np.arange(n), np.zeros(n, bool)
+    a, b = [], []
+    for i in range(n):
+        if n > PAIR_GROUP and covered[i]:
+            continue
+        near = np.flatnonzero(np.bitwise_count(f ^ f[i]).sum(1) <= most)
+        covered[near] = True
+        parts, first = np.unique(label[near], return_index=True)
+        other = parts != label[i]
+        if other.any():
+            a += [int(node[i])] * int(other.sum())
+            b += node[near[first[other]]].tolist()
+            label[np.isin(label, parts)] = label[i]
+    return a, b
 
 
 def near_in_tables(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b): rows of one key whose sketches differ in no more than most bits; in large groups, rows and leaders."""
-
-    def pairs(node: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(node)
-        if n <= PAIR_GROUP:
-            i, j = np.triu_indices(n, 1)
-            near = np.bitwise_count(s[i] ^ s[j]).sum(1) <= most
-            return node[i[near]], node[j[near]]
-        left, out_a, out_b = np.arange(n), [], []
-        while len(left):
-            near = np.bitwise_count(s[left] ^ s[left[0]]).sum(1) <= most
-            out_a.append(np.full(near.sum() - 1, node[left[0]]))
-            out_b.append(node[left[near]][1:])
-            left = left[~near]
-        return np.concatenate(out_a), np.concatenate(out_b)
+    """(a, b): links between rows of one key that differ in no more than most bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = np.empty(0, np.int64)
-        node, s = key, np.empty((0, SKETCH), np.uint64)
-
-        def ended(upto: int) -> pa.RecordBatch:
-            edges = np.concatenate([[0], np.flatnonzero(key[1:upto] != key[: upto - 1]) + 1, [upto]])
-            size = np.diff(edges)
-            got = [pairs(node[a:b], s[a:b]) for a, b in zip(edges[:-1][size > 1], edges[1:][size > 1], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in got] or [np.empty(0, np.int64)]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+        held: pa.Table | None = None
+
+        def ended(part: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            several = np.flatnonzero(np.diff(edges) > 1)
+            node = part.column("node").to_numpy()
+            f = np.frombuffer(b"".join(part.column("f").to_pylist()), np.uint64).reshape(len(key), -1)
+            a, b = [], []
+            for k in several.tolist():
+                more_a, more_b = forest(node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], most)
+                a += more_a
+                b += more_b
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            key, node = np.concatenate([key, columns[0]]), np.concatenate([node, columns[1]])
-            s = np.concatenate([s, np.stack(columns[2:], axis=1).view(np.uint64)]) if batch.num_rows else s
-            upto = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, now]) if held is not None else now
+            key = held.column("key").to_numpy()
+            upto = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
             if upto:
-                yield ended(upto)
-                key, node, s = key[upto:], node[upto:], s[upto:]
-        if len(key):
-            yield ended(len(key))
+                yield ended(held.slice(0, upto), key[:upto])
+                held = held.slice(upto)
+        if held is not None and held.num_rows:
+            yield ended(held, held.column("key").to_numpy())
 
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, most: int, bits: int) -> DataFrame:
-    """The pairs that differ in no more than most of all bits."""
-    at = pairs.join(nodes.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fa, fb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.filter(pa.array(np.bitwise_count(fa ^ fb).sum(1) <= most)).select(["a", "b"])
-
-    return at.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
-
-
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id): the class of each row with an id, named by its smallest id."""
     key_bits, tables = tables_for(docs.count(), similarity)
     bits = 64 * math.ceil(key_bits * tables / 64)
     own = durable(with_fingerprints(docs, id_col, text_col, shingle, bits).where("id is not null"), "long-fingerprints")
     nodes = durable(own.groupBy("f").agg(F.min("id").alias("node")), "nodes")
-    p, n = differing(similarity), 64 * SKETCH
-    sketch = math.floor(p * n + SKETCH_SLACK * math.sqrt(n * p * (1 - p)))
-    pairs = near_in_tables(table_rows(nodes, key_bits, tables), sketch).distinct()
-    roots = components(verified(pairs, nodes, math.floor(p * bits), bits))
+    roots = components(near_in_tables(table_rows(nodes, key_bits, tables), math.floor(differing(similarity) * bits)))
     named = nodes.join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("component_id"))
     return own.join(named, "f").select(F.col("id").alias(id_col), "component_id")
