@@ -187,7 +187,9 @@ def page_of(urn: str | None) -> int | None:
 
 def read_warc(spark: SparkSession, folder: str, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null in revisits), headers as JSON. files: file, bytes."""
-    splits = files.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start")).repartition("file", "start")
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    splits = files.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
+    splits = splits.repartition(int(n))  # one split a task: the rows are tiny, what they name is not
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
