@@ -1,0 +1 @@
+"""No streaming operator: the work is one batch, and the state between runs is the hash cache."""
