@@ -117,7 +117,7 @@ def staged(chosen: DataFrame, hasher: Hasher, cache: DataFrame | None = None, pr
         errors.append(done.where("error is not null").select(F.lit("verify").alias("stage"), F.col("rep_path").alias("path"), F.col("error").alias("message")))
         read = done.where("error is null").withColumn("group_id", F.sha2(F.concat_ws(":", "group_id", "hash"), 256))
         counts = read.groupBy("group_id").agg(F.count("*").alias("group_n"))
-        split = kept(read.join(counts, "group_id"))
+        split = read.join(counts, "group_id")  # from what is checkpointed: cheap to make again
         hashes.append(split.select(F.col("rep_path").alias("path"), F.col("size").alias("file_size"), "ino", F.col("rep_mtime_ns").alias("mtime_ns"), "start", "len", F.unhex("hash").alias("hash"), "cached"))
         alone, whole = F.col("group_n") < 2, F.col("total_bytes") == F.col("size")
         zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
