@@ -8,7 +8,7 @@ share that the similarity expects. Of such links only those leave a table that c
 connected, so a group makes fewer links than it has rows. Groups in a table beyond PAIR_GROUP compare their
 rows with leaders, each the first that no earlier leader was near to. Equal fingerprints are one node from the start; components are found by star rounds.
 
-Texts: as for the fingerprints of 64 bits, with hashes of shingles that are polynomials. A null or empty
+Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes. A null or empty
 text has no shingle and is no one's duplicate but of other empty texts. Rows with a null id belong to no class
 but their own. Repeated rows are copies. Empty tables give empty results. Columns besides id and text are not read.
 """
@@ -74,7 +74,7 @@ def long_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int) -> DataFrame:
-    """(id, f, blank) of each row, f as binary."""
+    """(id, f) of each row, f as binary."""
     words64 = math.ceil(bits / 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 f = long_fingerprints(data, offsets, shingle, words64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([row.tobytes() for row in f])], names=["id", "f"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, f binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).mapInArrow(run, "id long, f binary")
 
 
 def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
