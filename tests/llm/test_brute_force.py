@@ -10,6 +10,7 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -354,3 +355,38 @@ def test_pipeline(spark, sf, texts):
     assert all(plain_spans(r.text) == "" for r in docs.collect())
     ids = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     assert ids and ids <= after
+
+
+def test_crowds_link_as_groups_that_are_held():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**63, (4, 10)).astype(np.uint64)
+    rows = []
+    for k in range(900):
+        f = centres[rng.integers(4 if k > 300 else 2)].copy()
+        for bit in rng.integers(0, 640, 50):
+            f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((1 if k < 3 else 5 if k < 880 else 9, k, f.tobytes()))
+
+    def parts(crowd_rows, size):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + size], strict=True)], names=["key", "node", "f"]) for a in range(0, len(rows), size))
+        root = list(range(len(rows)))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        links = 0
+        for batch in simhash_similar.links_of(batches, 94, crowd_rows):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root[top(a)] = top(b)
+                links += 1
+        return [top(x) for x in range(len(rows))], links
+
+    def same(x):
+        return [x.index(v) for v in x]
+
+    whole, n = parts(10**6, 10**6)
+    assert n < len(rows)
+    for crowd_rows, size in ((100, 37), (65, 500), (200, 901)):
+        assert same(parts(crowd_rows, size)[0]) == same(whole)

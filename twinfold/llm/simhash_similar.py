@@ -6,7 +6,8 @@ bits as tell all rows apart, and as many tables as find a pair at the similarity
 sooner). Texts equal in one table are compared by all bits: a pair links if they differ in no more than the
 share that the similarity expects. Of such links only those leave a table that connect what is not yet
 connected, so a group makes fewer links than it has rows. Groups in a table beyond PAIR_GROUP compare their
-rows with leaders, each the first that no earlier leader was near to. Equal fingerprints are one node from the start; components are found by star rounds.
+rows with leaders, each the first that no earlier leader was near to; of those beyond CROWD_ROWS only the leaders
+are held in memory. Equal fingerprints are one node from the start; components are found by star rounds.
 
 Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes. A null or empty
 text has no shingle and is no one's duplicate but of other empty texts. Rows with a null id belong to no class
@@ -16,6 +17,7 @@ but their own. Repeated rows are copies. Empty tables give empty results. Column
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ from .components import components
 
 SHINGLE_WORDS, SIMILARITY, CHANCE = 5, 0.8, 0.95
 PAIR_GROUP = 64
+#: Groups of a table beyond this many rows are not held in memory.
+CROWD_ROWS = 16_384
 #: The eight bits of a byte as eight byte lanes.
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
 
@@ -101,15 +105,16 @@ def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
     return nodes.select("node", "f").mapInArrow(run, "key long, node long, f binary")
 
 
-def forest(node: np.ndarray, f: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Links that connect what lies within most bits of a leader. Up to PAIR_GROUP rows, each is a leader; beyond, each that
-    no earlier leader was near to. A link that would close a circle is not made."""
+def forest(node: np.ndarray, f: np.ndarray, most: int, large: bool, lead: int | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Links that connect what lies within most bits of a leader, and which rows lead. In a small group each row is a leader; in a
+    large one each that no earlier leader was near to, of the first lead rows if given. A link that would close a circle is not made."""
     n = len(node)
     label, covered = np.arange(n), np.zeros(n, bool)
-    a, b = [], []
-    for i in range(n):
-        if n > PAIR_GROUP and covered[i]:
+    a, b, leaders = [], [], []
+    for i in range(n if lead is None else lead):
+        if large and covered[i]:
             continue
+        leaders.append(i)
         near = np.flatnonzero(np.bitwise_count(f ^ f[i]).sum(1) <= most)
         covered[near] = True
         parts, first = np.unique(label[near], return_index=True)
@@ -118,41 +123,99 @@ def forest(node: np.ndarray, f: np.ndarray, most: int) -> tuple[list[int], list[
             a += [int(node[i])] * int(other.sum())
             b += node[near[first[other]]].tolist()
             label[np.isin(label, parts)] = label[i]
-    return a, b
+    return a, b, np.array(leaders, np.int64)
+
+
+def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    node = rows.column("node").to_numpy()
+    return node, np.frombuffer(b"".join(rows.column("f").to_pylist()), np.uint64).reshape(len(node), -1)
+
+
+def linked(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+class Crowd:
+    """A group too large to hold: only its leaders stay in memory, its rows go to an unnamed temporary file and are
+    read once more if leaders came up after them, so that each row meets all leaders whatever the order."""
+
+    def __init__(self, key: int, most: int):
+        self.key, self.most = key, most
+        self.node, self.f = np.empty(0, np.int64), None
+        self.file, self.parts = tempfile.TemporaryFile(), []
+
+    def add(self, rows: pa.Table) -> pa.RecordBatch:
+        node, f = arrays(rows)
+        known = len(self.node)
+        all_node, all_f = np.concatenate([self.node, node]), f if self.f is None else np.concatenate([self.f, f])
+        a, b, leaders = forest(all_node, all_f, self.most, True)
+        self.node, self.f = all_node[leaders], all_f[leaders]
+        assert len(self.node) >= known
+        self.file.write(node.tobytes() + f.tobytes())
+        self.parts.append((len(node), len(self.node)))
+        return linked(a, b)
+
+    def ended(self) -> Iterator[pa.RecordBatch]:
+        width = self.f.shape[1]
+        self.file.seek(0)
+        for n, known in self.parts:
+            if known == len(self.node):
+                break  # no leader came after this part, nor after the next ones
+            node = np.frombuffer(self.file.read(8 * n), np.int64)
+            f = np.frombuffer(self.file.read(8 * n * width), np.uint64).reshape(n, width)
+            later = len(self.node) - known
+            a, b, _ = forest(np.concatenate([self.node[known:], node]), np.concatenate([self.f[known:], f]), self.most, True, later)
+            yield linked(a, b)
+        self.file.close()
+
+
+def links_of(batches: Iterator[pa.RecordBatch], most: int, crowd_rows: int = CROWD_ROWS) -> Iterator[pa.RecordBatch]:
+    """(a, b) of key, node, f that come sorted by key. No more than crowd_rows and a batch are held, and a crowd's leaders."""
+    held: pa.Table | None = None
+    crowd: Crowd | None = None
+
+    def ended(part: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        several = np.flatnonzero(np.diff(edges) > 1)
+        node, f = arrays(part)
+        a, b = [], []
+        for k in several.tolist():
+            more_a, more_b, _ = forest(node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], most, edges[k + 1] - edges[k] > PAIR_GROUP)
+            a += more_a
+            b += more_b
+        return linked(a, b)
+
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        if crowd is not None and now.num_rows:
+            own = int(np.searchsorted(now.column("key").to_numpy(), crowd.key, "right"))
+            if own:
+                yield crowd.add(now.slice(0, own))
+            now = now.slice(own)
+            if now.num_rows:
+                yield from crowd.ended()
+                crowd = None
+        if not now.num_rows:
+            continue
+        held = pa.concat_tables([held, now]) if held is not None else now
+        key = held.column("key").to_numpy()
+        upto = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
+        if upto:
+            yield ended(held.slice(0, upto), key[:upto])
+            held = held.slice(upto)
+        if held.num_rows > crowd_rows:
+            crowd = Crowd(int(key[-1]), most)
+            yield crowd.add(held)
+            held = None
+    if crowd is not None:
+        yield from crowd.ended()
+    if held is not None and held.num_rows:
+        yield ended(held, held.column("key").to_numpy())
 
 
 def near_in_tables(rows: DataFrame, most: int) -> DataFrame:
     """(a, b): links between rows of one key that differ in no more than most bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def ended(part: pa.Table, key: np.ndarray) -> pa.RecordBatch:
-            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            several = np.flatnonzero(np.diff(edges) > 1)
-            node = part.column("node").to_numpy()
-            f = np.frombuffer(b"".join(part.column("f").to_pylist()), np.uint64).reshape(len(key), -1)
-            a, b = [], []
-            for k in several.tolist():
-                more_a, more_b = forest(node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], most)
-                a += more_a
-                b += more_b
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, now]) if held is not None else now
-            key = held.column("key").to_numpy()
-            upto = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
-            if upto:
-                yield ended(held.slice(0, upto), key[:upto])
-                held = held.slice(upto)
-        if held is not None and held.num_rows:
-            yield ended(held, held.column("key").to_numpy())
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: links_of(batches, most), "a long, b long")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
