@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into word arrays at once (a single longer text is one slice).
 SLICE_BYTES = 1 << 20
@@ -50,6 +51,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is common if more than one in so many rows has it; so there are at most as many common keys.
+COMMON_SHARE = 2_000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left_semi) with keyed, which has one row for each key and n, the key's number of rows among
+    the total. Common keys are broadcast, so their rows stay where they are; the others are dealt out by key."""
+    limit = total // COMMON_SHARE
+    common = F.broadcast(keyed.where(F.col("n") > limit).drop("n"))
+    rare = keyed.where(F.col("n") <= limit).drop("n")
+    return rows.join(common, on, how).unionByName(rows.join(common, on, "left_anti").join(rare, on, how))
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets into them) for slices of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
