@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import durable, spread_join, table
 from .components import components
 
 SEED, SHINGLE_WORDS = 42, 3
@@ -101,13 +101,13 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """id, fingerprint, component_id (the smallest id reachable over links of two bits or fewer): a row for each row of docs."""
     own = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    prints = durable(own.groupBy(F.col("fingerprint").alias("f")).agg(F.min(id_col).alias("low")), "distinct-fingerprints")
-    roots = components(links(prints.select("f")))
-    linked = prints.join(roots, prints["f"] == roots["node"])
-    names = linked.groupBy("root").agg(F.min("low").alias("name"))
-    named = linked.join(names, "root").select("f", "name")
-    named = prints.join(named, "f", "left").select("f", F.coalesce("name", "low").alias("component_id"))
-    return own.join(named, own["fingerprint"] == named["f"]).select(id_col, "fingerprint", "component_id")
+    prints = durable(own.groupBy("fingerprint").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    roots = components(links(prints.select(F.col("fingerprint").alias("f"))))
+    linked = durable(prints.join(roots, prints["fingerprint"] == roots["node"]).select("fingerprint", "root", "low"), "linked-fingerprints")
+    names = durable(linked.groupBy("root").agg(F.min("low").alias("name"), F.count("*").alias("n")), "names")
+    named = spread_join(linked, names, ["root"], linked.count()).select("fingerprint", "name")
+    named = durable(prints.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("name", "low").alias("component_id"), "n"), "named-fingerprints")
+    return spread_join(own, named, ["fingerprint"], own.count()).select(id_col, "fingerprint", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
