@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import durable, text_slices
+from .common import durable, spread_join, text_slices
 from .components import components
 
 SHINGLE_WORDS, SIMILARITY, CHANCE = 5, 0.8, 0.95
@@ -223,7 +223,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key_bits, tables = tables_for(docs.count(), similarity)
     bits = 64 * math.ceil(key_bits * tables / 64)
     own = durable(with_fingerprints(docs, id_col, text_col, shingle, bits).where("id is not null"), "long-fingerprints")
-    nodes = durable(own.groupBy("f").agg(F.min("id").alias("node")), "nodes")
+    nodes = durable(own.groupBy("f").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
     roots = components(near_in_tables(table_rows(nodes, key_bits, tables), math.floor(differing(similarity) * bits)))
-    named = nodes.join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("component_id"))
-    return own.join(named, "f").select(F.col("id").alias(id_col), "component_id")
+    named = durable(nodes.join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("component_id"), "n"), "named-fingerprints")
+    return spread_join(own, named, ["f"], own.count()).select(F.col("id").alias(id_col), "component_id")
