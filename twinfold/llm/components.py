@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, spread_join
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is tied to the smallest of the node and its neighbours."""
+def large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every larger neighbour of a node is tied to the smallest of the node and its neighbours; total is the number of edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"), F.count("*").alias("n"))
+    return spread_join(both.where("b > a"), low, ["a"], 2 * total).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    tied = down.join(low, "a")
+    low = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+    tied = spread_join(down, low, ["a"], total)
     return tied.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges a, b; root is the smallest node reachable. Nothing is collected
-    but a count and a checksum per round; rounds grow as the logarithm of the longest path."""
+    but counts and a checksum per round; rounds grow as the logarithm of the longest path. A node with a large
+    share of all edges keeps them where they are: its smallest neighbour is broadcast."""
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    total, seen = edges.count(), None
     while True:
-        edges = durable(small_star(large_star(edges)), "edges")
+        tied = durable(large_star(edges, total), "tied")
+        edges = durable(small_star(tied, tied.count()), "edges")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == seen or now[0] == 0:
             break
-        seen = now
+        seen, total = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
