@@ -9,7 +9,8 @@ connected, so a group makes fewer links than it has rows. Groups in a table beyo
 rows with leaders, each the first that no earlier leader was near to; of those beyond CROWD_ROWS only the leaders
 are held in memory. Equal fingerprints are one node from the start; components are found by star rounds.
 
-Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes. A null or empty
+Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes; each shingle
+counts once in a text, as in the similarity. A null or empty
 text has no shingle and is no one's duplicate but of other empty texts. Rows with a null id belong to no class
 but their own. Repeated rows are copies. Empty tables give empty results. Columns besides id and text are not read.
 """
@@ -49,7 +50,7 @@ def tables_for(rows: int, similarity: float = SIMILARITY, chance: float = CHANCE
 
 
 def long_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words64: int) -> np.ndarray:
-    """[text, word of 64 bits]; a bit is set if it is in over half of the shingles' hashes."""
+    """[text, word of 64 bits]; a bit is set if it is in over half of the hashes of the text's distinct shingles."""
     w = wh.words_of(data, offsets)
     n = len(offsets) - 1
     at, hashes = w.windows(shingle)
@@ -57,9 +58,11 @@ def long_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words
     short = np.flatnonzero((w.counts() > 0) & (w.counts() < shingle))
     if len(short):
         doc = np.concatenate([doc, short])
-        order = np.argsort(doc, kind="stable")
-        hashes = np.concatenate([hashes, wh.spans_hash(w.hashes, w.first[short], w.first[short + 1], 1)])[order]
-        doc = doc[order]
+        hashes = np.concatenate([hashes, wh.spans_hash(w.hashes, w.first[short], w.first[short + 1], 1)])
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])])[: len(doc)]
+    doc, hashes = doc[fresh], hashes[fresh]
     out = np.zeros((n, words64), np.uint64)
     if not len(doc):
         return out
