@@ -390,3 +390,22 @@ def test_crowds_link_as_groups_that_are_held():
     assert n < len(rows)
     for crowd_rows, size in ((100, 37), (65, 500), (200, 901)):
         assert same(parts(crowd_rows, size)[0]) == same(whole)
+
+
+@pytest.mark.parametrize(("versions", "families", "crowd_rows", "size"), [(60, 1, 10**6, 10**6), (100, 1, 10**6, 10**6), (300, 1, 10**6, 10**6), (2000, 1, 10**6, 10**6), (900, 3, 10**6, 10**6), (300, 1, 70, 41), (2000, 1, 500, 333), (900, 3, 100, 77), (600, 3, 65, 600)])
+def test_copies_of_copies_link_as_all_pairs(versions, families, crowd_rows, size):
+    """Each version is a copy of any earlier one of its family with 60 to 90 of 640 bits changed; links are up to 96 bits."""
+    rng = np.random.default_rng(versions + families)
+    made = [rng.integers(0, 2**63, 10).astype(np.uint64) for _ in range(families)]
+    for k in range(families, versions):
+        f = made[k % families + families * int(rng.integers((k - k % families) // families))].copy()
+        for bit in rng.choice(640, rng.integers(60, 91), replace=False):
+            f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        made.append(f)
+    made = [made[k] for k in rng.permutation(versions)]
+    all_f = np.stack(made)
+    pairs = [(i, int(j)) for i in range(versions) for j in np.flatnonzero(np.bitwise_count(all_f[:i] ^ all_f[i]).sum(1) <= 96)]
+    want = joined(range(versions), pairs)
+    batches = (pa.RecordBatch.from_arrays([pa.array([7] * len(p)), pa.array(range(a, a + len(p))), pa.array([f.tobytes() for f in p])], names=["key", "node", "f"]) for a in range(0, versions, size) for p in [made[a : a + size]])
+    links = [pair for batch in simhash_similar.links_of(batches, 96, crowd_rows) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    assert joined(range(versions), links) == want and len(set(want.values())) == families

@@ -6,8 +6,9 @@ bits as tell all rows apart, and as many tables as find a pair at the similarity
 sooner). Texts equal in one table are compared by all bits: a pair links if they differ in no more than the
 share that the similarity expects. Of such links only those leave a table that connect what is not yet
 connected, so a group makes fewer links than it has rows. Groups in a table beyond PAIR_GROUP compare their
-rows with leaders, each the first that no earlier leader was near to; of those beyond CROWD_ROWS only the leaders
-are held in memory. Equal fingerprints are one node from the start; components are found by star rounds.
+rows with leaders, each the first that no earlier leader was near to, then rows of different classes with each other
+where the triangle inequality leaves it open, so they link as if all rows were compared; of those beyond CROWD_ROWS
+only the leaders are held in memory. Equal fingerprints are one node from the start; components are found by star rounds.
 
 Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes; each shingle
 counts once in a text, as in the similarity. A null or empty
@@ -108,8 +109,8 @@ def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
     return nodes.select("node", "f").mapInArrow(run, "key long, node long, f binary")
 
 
-def forest(node: np.ndarray, f: np.ndarray, most: int, large: bool, lead: int | None = None) -> tuple[list[int], list[int], np.ndarray]:
-    """Links that connect what lies within most bits of a leader, and which rows lead. In a small group each row is a leader; in a
+def forest(node: np.ndarray, f: np.ndarray, most: int, large: bool, lead: int | None = None) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Links that connect what lies within most bits of a leader, which rows lead, and each row's class. In a small group each row is a leader; in a
     large one each that no earlier leader was near to, of the first lead rows if given. A link that would close a circle is not made."""
     n = len(node)
     label, covered = np.arange(n), np.zeros(n, bool)
@@ -126,7 +127,31 @@ def forest(node: np.ndarray, f: np.ndarray, most: int, large: bool, lead: int |
             a += [int(node[i])] * int(other.sum())
             b += node[near[first[other]]].tolist()
             label[np.isin(label, parts)] = label[i]
-    return a, b, np.array(leaders, np.int64)
+    return a, b, np.array(leaders, np.int64), label
+
+
+def bridges(node: np.ndarray, f: np.ndarray, most: int, leaders: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that connect the classes of a large group's forest whose rows lie within most bits of each other. Each row lies
+    within most bits of a leader, so one near to it differs from that leader in no more than twice as many."""
+    a, b = [], []
+    for i in leaders.tolist():
+        if (label == label[i]).all():
+            break
+        far = np.bitwise_count(f ^ f[i]).sum(1)
+        other = np.flatnonzero((far <= 2 * most) & (label != label[i]))
+        if not len(other):
+            continue
+        own = np.flatnonzero(far <= most)
+        own_f = f[own]
+        for k in other.tolist():
+            if label[k] == label[i]:
+                continue
+            near = np.flatnonzero(np.bitwise_count(own_f ^ f[k]).sum(1) <= most)
+            if len(near):
+                a.append(int(node[k]))
+                b.append(int(node[own[near[0]]]))
+                label[label == label[k]] = label[i]
+    return a, b
 
 
 def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +165,8 @@ def linked(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 class Crowd:
     """A group too large to hold: only its leaders stay in memory, its rows go to an unnamed temporary file and are
-    read once more if leaders came up after them, so that each row meets all leaders whatever the order."""
+    read once more if leaders came up after them, so that each row meets all leaders whatever the order. If more than one
+    class is left, rows that may be near to one of another class go to a second file and meet each other part by part."""
 
     def __init__(self, key: int, most: int):
         self.key, self.most = key, most
@@ -151,7 +177,7 @@ class Crowd:
         node, f = arrays(rows)
         known = len(self.node)
         all_node, all_f = np.concatenate([self.node, node]), f if self.f is None else np.concatenate([self.f, f])
-        a, b, leaders = forest(all_node, all_f, self.most, True)
+        a, b, leaders, _ = forest(all_node, all_f, self.most, True)
         self.node, self.f = all_node[leaders], all_f[leaders]
         assert len(self.node) >= known
         self.file.write(node.tobytes() + f.tobytes())
@@ -167,10 +193,67 @@ class Crowd:
             node = np.frombuffer(self.file.read(8 * n), np.int64)
             f = np.frombuffer(self.file.read(8 * n * width), np.uint64).reshape(n, width)
             later = len(self.node) - known
-            a, b, _ = forest(np.concatenate([self.node[known:], node]), np.concatenate([self.f[known:], f]), self.most, True, later)
+            a, b, _, _ = forest(np.concatenate([self.node[known:], node]), np.concatenate([self.f[known:], f]), self.most, True, later)
             yield linked(a, b)
+        yield from self.bridged()
         self.file.close()
 
+    def rows(self, file, sizes: list[int], lists: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """The parts of a file: so many arrays of integers, and the fingerprints."""
+        width, at = self.f.shape[1], 0
+        for n in sizes:
+            file.seek(at)
+            at += 8 * n * (lists + width)
+            numbers = [np.frombuffer(file.read(8 * n), np.int64) for _ in range(lists)]
+            yield numbers, np.frombuffer(file.read(8 * n * width), np.uint64).reshape(n, width)
+
+    def bridged(self) -> Iterator[pa.RecordBatch]:
+        label = np.arange(len(self.node))
+
+        def one() -> bool:
+            return bool((label == label[0]).all())
+
+        def meet(f: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+            for i in range(len(label)):
+                yield i, np.flatnonzero(np.bitwise_count(f ^ self.f[i]).sum(1) <= limit)
+
+        sizes = [n for n, _ in self.parts]
+        for _, f in self.rows(self.file, sizes, 1):  # classes of leaders
+            if one():
+                return
+            first = np.full(len(f), -1)
+            for i, near in meet(f, self.most):
+                parts = np.unique(label[first[near[first[near] >= 0]]])
+                if len(parts):
+                    label[np.isin(label, parts)] = label[i]
+                first[near[first[near] < 0]] = i
+        if one():
+            return
+        with tempfile.TemporaryFile() as file:
+            left = []
+            for (node,), f in self.rows(self.file, sizes, 1):
+                first, may = np.full(len(f), -1), np.zeros(len(f), bool)
+                for i, near in meet(f, self.most):
+                    first[near[first[near] < 0]] = i
+                for i, near in meet(f, 2 * self.most):
+                    may[near[label[first[near]] != label[i]]] = True
+                if may.any():
+                    file.write(node[may].tobytes() + first[may].tobytes() + f[may].tobytes())
+                    left.append(int(may.sum()))
+            for k, ((node, first), f) in enumerate(self.rows(file, left, 2)):
+                a, b = [], []
+                for j, ((other, its_first), g) in enumerate(self.rows(file, left, 2)):
+                    if j < k:
+                        continue
+                    for i in range(len(node)):
+                        apart = np.flatnonzero(label[its_first] != label[first[i]])
+                        near = apart[np.bitwise_count(g[apart] ^ f[i]).sum(1) <= self.most]
+                        parts, at = np.unique(label[its_first[near]], return_index=True)
+                        a += [int(node[i])] * len(parts)
+                        b += other[near[at]].tolist()
+                        label[np.isin(label, parts)] = label[first[i]]
+                yield linked(a, b)
+
 
 def links_of(batches: Iterator[pa.RecordBatch], most: int, crowd_rows: int = CROWD_ROWS) -> Iterator[pa.RecordBatch]:
     """(a, b) of key, node, f that come sorted by key. No more than crowd_rows and a batch are held, and a crowd's leaders."""
@@ -183,9 +266,14 @@ def links_of(batches: Iterator[pa.RecordBatch], most: int, crowd_rows: int = CRO
         node, f = arrays(part)
         a, b = [], []
         for k in several.tolist():
-            more_a, more_b, _ = forest(node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], most, edges[k + 1] - edges[k] > PAIR_GROUP)
+            own, its_f, large = node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], edges[k + 1] - edges[k] > PAIR_GROUP
+            more_a, more_b, leaders, label = forest(own, its_f, most, large)
             a += more_a
             b += more_b
+            if large:
+                more_a, more_b = bridges(own, its_f, most, leaders, label)
+                a += more_a
+                b += more_b
         return linked(a, b)
 
     for batch in batches:
