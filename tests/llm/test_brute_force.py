@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinfold.llm import chat_format, components, mixing, packing, pii, quality_classifier, queries, simhash, simhash_similar, substring_dedup, wordhash
+from twinfold.llm import chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, queries, simhash, simhash_similar, substring_dedup, wordhash
 from twinfold.llm.textstats import text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -409,3 +409,19 @@ def test_copies_of_copies_link_as_all_pairs(versions, families, crowd_rows, size
     batches = (pa.RecordBatch.from_arrays([pa.array([7] * len(p)), pa.array(range(a, a + len(p))), pa.array([f.tobytes() for f in p])], names=["key", "node", "f"]) for a in range(0, versions, size) for p in [made[a : a + size]])
     links = [pair for batch in simhash_similar.links_of(batches, 96, crowd_rows) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
     assert joined(range(versions), links) == want and len(set(want.values())) == families
+
+
+@pytest.mark.parametrize(("groups", "size", "noise"), [(4, 256, 0.01), (4, 256, 0.003), (1, 1000, 0.01), (4, 256, 0.0001)])
+def test_op6_recall_in_groups_of_near_copies(spark, groups, size, noise):
+    rng = np.random.default_rng(size)
+    x = np.concatenate([np.repeat(rng.normal(size=(groups, 64)), size, 0) * (1 + noise * rng.normal(size=(groups * size, 64))), rng.normal(size=(300, 64))])
+    table = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, got, hit = range(0, groups * size, 25), {}, 0
+    for r in nn_descent.nearest(table, lambda i: i % 25 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in asked:
+        apart = ((x - x[q]) ** 2).sum(1)
+        apart[q] = 9
+        hit += len(set(np.argsort(apart, kind="stable")[:5].tolist()) & got[q])
+    assert hit >= 0.95 * 5 * len(asked)

@@ -5,11 +5,11 @@ Graph: a few random orderings (signs of random projections, hashes among equals)
 and cut into blocks of fixed size; the nearest within its blocks are a node's first neighbours. Then rounds
 of joins: each node gathers its neighbours and its best reverse neighbours with their vectors, all of
 them are compared with each other, and each keeps the nearest of what its own gatherings told. Vectors
-travel as bytes (eight bits a component); every round is written to the shared folder.
+travel as integers of 16 bits a component; vectors with equal ones are one node too; every round is written to the shared folder.
 
 Search: the graph is a bucketed table of nodes with their neighbours' vectors, so that each step only
 shuffles its frontier. A query keeps a beam of the nearest found, expands the best of those not
-yet expanded, and ends when all of the beam are. The last candidates are scored in
+yet expanded, and ends when all of the beam are. The whole beam, with all vectors of each of its nodes, is then scored in
 double precision on the original vectors.
 
 Nearness is the cosine. Ids that are null, and vectors that are null, zero, hold null or non-finite
@@ -34,6 +34,7 @@ ORDERINGS, BLOCK, PLANES = 6, 512, 24
 TOLD = 12  # candidates that one gathering tells each of its members
 BEAM, EXPAND, STEPS = 256, 48, 24
 SEED = 6
+CODE = np.int16
 _LINK = "array<struct<s: double, v: long>>"
 
 
@@ -48,9 +49,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def coded(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as bytes, and one over the length of each."""
+    """Vectors as small integers, and one over the length of each."""
     top = np.abs(e).max(axis=1, keepdims=True)
-    codes = np.rint(e / np.where(top > 0, top, 1) * 127).astype(np.int8)
+    codes = np.rint(e / np.where(top > 0, top, 1) * np.iinfo(CODE).max).astype(CODE)
     return codes, 1.0 / np.maximum(np.sqrt((codes.astype(np.int64) ** 2).sum(1)), 1e-9)
 
 
@@ -98,7 +99,7 @@ def first_links(base: DataFrame, ordering: int, k: int) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                c = rows_of(batch.column(1), np.int8).astype(np.float32)
+                c = rows_of(batch.column(1), CODE).astype(np.float32)
                 planes = np.random.default_rng([SEED, ordering]).normal(size=(c.shape[1], PLANES)).astype(np.float32)
                 key = ((c @ planes > 0) << np.arange(PLANES)).sum(1)
                 gray = key ^ (key >> 1)
@@ -110,8 +111,8 @@ def first_links(base: DataFrame, ordering: int, k: int) -> DataFrame:
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks().to_batches()[0]
-            u, c, inv = rows.column(0).to_numpy(), rows_of(rows.column(1), np.int8).astype(np.float32), rows.column(2).to_numpy()
-            s = (c @ c.T).astype(float) * (inv[:, None] * inv[None, :])
+            u, c, inv = rows.column(0).to_numpy(), rows_of(rows.column(1), CODE).astype(float), rows.column(2).to_numpy()
+            s = (c @ c.T) * (inv[:, None] * inv[None, :])
             np.fill_diagonal(s, -9)
             m = min(k, len(u) - 1)
             at = np.argpartition(-s, m - 1, axis=1)[:, :m] if m > 0 else np.empty((len(u), 0), np.int64)
@@ -166,7 +167,7 @@ def told(around: DataFrame) -> DataFrame:
             flat = lists.flatten()
             if not len(flat):
                 continue
-            ids, codes, inv = flat.field(0).to_numpy(zero_copy_only=False), rows_of(flat.field(1), np.int8).astype(np.float32), flat.field(2).to_numpy(zero_copy_only=False)
+            ids, codes, inv = flat.field(0).to_numpy(zero_copy_only=False), rows_of(flat.field(1), CODE).astype(float), flat.field(2).to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             out_s, out_v, counts = [], [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -175,7 +176,7 @@ def told(around: DataFrame) -> DataFrame:
                 counts.append(np.full(n, max(m, 0)))
                 if m < 1:
                     continue
-                s = (codes[a:b] @ codes[a:b].T).astype(float) * (inv[a:b, None] * inv[None, a:b])
+                s = (codes[a:b] @ codes[a:b].T) * (inv[a:b, None] * inv[None, a:b])
                 s.flat[:: n + 1] = -9
                 at = np.argpartition(-s, m - 1, axis=1)[:, :m]
                 out_s.append(np.take_along_axis(s, at, 1).ravel())
@@ -205,12 +206,12 @@ def expand(frontier: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, inv, worst = rows_of(batch.column(1), np.int8).astype(np.float32), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            own, inv, worst = rows_of(batch.column(1), CODE).astype(float), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             lists = batch.column(4)
             flat = lists.flatten()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            codes = rows_of(flat.field(1), np.int8).astype(np.float32)
-            s = np.einsum("ij,ij->i", codes, own[row]).astype(float) * (inv[row] * flat.field(2).to_numpy(zero_copy_only=False))
+            codes = rows_of(flat.field(1), CODE).astype(float)
+            s = np.einsum("ij,ij->i", codes, own[row]) * (inv[row] * flat.field(2).to_numpy(zero_copy_only=False))
             keep = s > worst[row]
             yield pa.RecordBatch.from_arrays([batch.column(0), link_lists(s[keep], flat.field(0).to_numpy(zero_copy_only=False)[keep], np.bincount(row[keep], minlength=batch.num_rows))], names=["q", "found"])
 
@@ -295,10 +296,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     first = rows.select("id", "e", F.row_number().over(low).alias("rank"))
     named = durable(first.where(F.col("rank") <= k + 1).groupBy("e").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
     asked = durable(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "e").join(named.select("e", F.col("id").alias("q")), "e").select("query_id", "q"), "queries")
-    base = durable(encode(named), "codes")
+    codes = durable(encode(named), "codes")
+    base = durable(codes.groupBy("code").agg(F.min("u").alias("u"), F.min("inv").alias("inv")).select("u", "code", "inv"), "codes")
+    members = durable(codes.join(base.select("code", F.col("u").alias("c")), "code").select("c", "u"), "members")
     graph = build_graph(base)
-    beams = search(graph, base, asked.select("q").distinct(), width)
-    pairs = beams.select("q", F.explode(F.slice("beam", 1, 4 * k + 5)).alias("b")).select("q", F.col("b.v").alias("v"))
+    own = asked.select(F.col("q").alias("u")).distinct().join(members, "u").select("c", F.col("u").alias("own"))
+    beams = search(graph, base, own.select(F.col("c").alias("q")).distinct(), width)
+    near = beams.select(F.col("q").alias("c"), F.explode("beam").alias("b")).select("c", F.col("b.v").alias("near"))
+    pairs = near.join(own, "c").select(F.col("own").alias("q"), F.col("near").alias("c")).join(members, "c").select("q", F.col("u").alias("v"))
     scored = durable(exact(pairs, named), "scores").join(named.select(F.col("id").alias("v"), "ids"), "v")
     top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     named_rows = asked.join(scored.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "q").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id")).where("query_id <> vec_id")
