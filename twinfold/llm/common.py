@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker expands into word arrays at once (a single longer text is one slice).
+#: Bytes of text that a Python worker expands into word arrays at once (a single longer text is one slice, whose bytes
+#: are expanded piece by piece; see wordhash).
 SLICE_BYTES = 1 << 20
 
 
@@ -42,26 +44,108 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/twinfold/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, lost executors cost nothing that is written."""
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, lost executors cost nothing that is written. The shuffle
+    files of the writing job go when it ends."""
     spark = df.sparkSession
     small_batches(spark)
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path = path or new_path(spark, name)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Durable tables of one operator. On leaving, or on an error, all go but those that its lazy result still reads (kept)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths[path] = None
+        out = durable(df, name, path)
+        self.paths[path] = out
+        return out
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return durable(df, name)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """These tables go at once."""
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            delete(self.spark, path)
+            del self.paths[path]
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            with contextlib.suppress(Exception):  # what can't be deleted must not hide the error that led here
+                delete(self.spark, path)
+
+
 #: A key is common if more than one in so many rows has it; so there are at most as many common keys.
 COMMON_SHARE = 2_000
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left_semi) with keyed, which has one row for each key and n, the key's number of rows among
+    """rows joined (inner, left or left_semi) with keyed, which has one row for each key and n, the key's number of rows among
     the total. Common keys are broadcast, so their rows stay where they are; the others are dealt out by key."""
     limit = total // COMMON_SHARE
     common = F.broadcast(keyed.where(F.col("n") > limit).drop("n"))
     rare = keyed.where(F.col("n") <= limit).drop("n")
-    return rows.join(common, on, how).unionByName(rows.join(common, on, "left_anti").join(rare, on, how))
+    return rows.join(common, on, "inner" if how == "left" else how).unionByName(rows.join(common, on, "left_anti").join(rare, on, how))
+
+
+#: Ids of rows are broadcast up to so many (8 bytes each); beyond, they are joined like any other table.
+BROADCAST_IDS = 200_000
+
+
+def chosen(rows: DataFrame, ids: DataFrame, on: str, n: int) -> DataFrame:
+    """The rows whose id is among n distinct ids."""
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_semi")
+
+
+#: Partial sums that meet in one task.
+SUM_FAN = 16
+
+
+def tree_sum(parts: DataFrame, dtype, scratch: Scratch) -> np.ndarray | None:
+    """The sum of arrays of one size, each the bytes of a row of the only column of parts. Sixteen meet in a task, and
+    so on by rounds, so that no task and not the driver reads more than sixteen at once."""
+    name = parts.columns[0]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for one in batch.column(0):
+                part = np.frombuffer(one.as_py(), dtype)
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=[name])
+
+    parts = scratch.table(parts, "partial-sums")
+    n = parts.count()
+    while n > SUM_FAN:
+        groups = math.ceil(n / SUM_FAN)
+        parts = scratch.table(parts.repartition(groups).mapInArrow(merge, f"{name} binary"), "partial-sums")
+        n = min(groups, parts.count())
+    rows = [np.frombuffer(bytes(r[0]), dtype) for r in parts.collect()]
+    return np.sum(rows, axis=0, dtype=dtype) if rows else None
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,14 +169,3 @@ def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int,
 
 def arrow_batch(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Drops scratch tables of durable() that nothing reads any more, and lets Spark drop the shuffle files of ended jobs."""
-    for df in tables:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/twinfold/" in path:
-                at = spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()

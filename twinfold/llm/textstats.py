@@ -24,7 +24,6 @@ REPEAT_WINDOW = 8
 def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     w = wh.words_of(data, offsets)
-    space = wh.space_mask(data)
     at, keys = w.windows(REPEAT_WINDOW)
     salt = wh.mix(np.arange(1, n + 1, dtype=np.uint64))
     hit = at[wh.repeated(keys ^ salt[w.doc[at]])]
@@ -38,36 +37,36 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     distinct = np.unique(w.hashes ^ salt[w.doc], return_index=True)[1]
     return {
         "n_words": w.counts(),
-        "word_chars": wh.per_text(~space & ((data & 0xC0) != 0x80), offsets),
-        "n_symbols": wh.per_text(_SYMBOLS[data], offsets),
+        "word_chars": wh.per_text(lambda b: wh.word_mask(b) & ((b & 0xC0) != 0x80), data, offsets),
+        "n_symbols": wh.per_text(lambda b: _SYMBOLS[b], data, offsets),
         "n_lines": np.bincount(doc, minlength=n),
         "n_dup_lines": np.bincount(doc[filled][~kept], minlength=n),
         "n_repeat_words": repeat,
-        "n_upper": wh.per_text((data >= 65) & (data <= 90), offsets),
-        "n_lower": wh.per_text((data >= 97) & (data <= 122), offsets),
-        "n_digits": wh.per_text((data >= 48) & (data <= 57), offsets),
-        "n_marks": wh.per_text(_MARKS[data], offsets),
-        "n_commas": wh.per_text(data == 44, offsets),
-        "n_stops": wh.per_text(data == 46, offsets),
+        "n_upper": wh.per_text(lambda b: (b >= 65) & (b <= 90), data, offsets),
+        "n_lower": wh.per_text(lambda b: (b >= 97) & (b <= 122), data, offsets),
+        "n_digits": wh.per_text(lambda b: (b >= 48) & (b <= 57), data, offsets),
+        "n_marks": wh.per_text(lambda b: _MARKS[b], data, offsets),
+        "n_commas": wh.per_text(lambda b: b == 44, data, offsets),
+        "n_stops": wh.per_text(lambda b: b == 46, data, offsets),
         "n_distinct": np.bincount(w.doc[distinct], minlength=n),
-        "n_non_ascii": wh.per_text(data >= 0xC0, offsets),
+        "n_non_ascii": wh.per_text(lambda b: b >= 0xC0, data, offsets),
         "n_long_words": np.bincount(w.doc[length >= 12], minlength=n),
         "n_short_words": np.bincount(w.doc[length <= 2], minlength=n),
     }
 
 
-def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, statistics as long) of each row; a null text is an empty one. Rows are neither dropped nor merged."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind)] + [T.StructField(s, T.LongType()) for s in STATS])
+def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns named in also, statistics as long) of each row; a null text is an empty one. Rows are neither dropped nor merged."""
+    own = [id_col, *also]
+    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField(s, T.LongType()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(len(own))):
                 stats = text_stats(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=[id_col, *STATS])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(own))), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=[*own, *STATS])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*own, text_col).mapInArrow(run, schema)
 
 
 def matrix(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
