@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, spread_join
+from .common import Scratch, spread_join
 
 
 def large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -23,15 +23,16 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the edges a, b; root is the smallest node reachable. Nothing is collected
     but counts and a checksum per round; rounds grow as the logarithm of the longest path. A node with a large
     share of all edges keeps them where they are: its smallest neighbour is broadcast."""
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     total, seen = edges.count(), None
-    while True:
-        tied = durable(large_star(edges, total), "tied")
-        edges = durable(small_star(tied, tied.count()), "edges")
+    while total:
+        tied = scratch.table(large_star(edges, total), "tied")
+        last, edges = edges, scratch.table(small_star(tied, tied.count()), "edges")
+        scratch.drop(tied, last)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == seen or now[0] == 0:
             break

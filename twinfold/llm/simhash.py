@@ -4,13 +4,13 @@ A fingerprint of 64 bits is cut into 16 segments; their bit counts embed it in a
 differing bit moves one count by one at most, so the Manhattan distance of two embeddings is a lower
 bound of the Hamming distance: fingerprints that differ in two bits or fewer lie within distance
 two and so share a cell at distance one or zero of both. Every distinct fingerprint goes to the cells
-within distance one of its own, rows that share a cell are compared bit by bit. Cells that hold more than
-PAIR_CELL fingerprints form no pairs: their fingerprints go to the 65 bit strings within one bit of
-theirs; those that meet at one are within two bits of each other, so tying each to the smallest
-loses no link's connection and makes no pair more than it has rows. Equal
+within distance one of its own, rows that share a cell are compared bit by bit. A cell that holds more than
+FULL_CELL fingerprints is divided by a finer grid: other segments of the bits embed its fingerprints once more, and
+as the bound holds there too, linked ones share a cell of both grids. Cells of any size are compared in pairs of
+blocks (blocks.py), and what a pair of blocks links is told as stars, so it tells fewer links than it has rows. Equal
 fingerprints are one node from the start. Components are found by star rounds.
 
-Texts: A-Z is lower-cased; words are runs of bytes other than space and \\t..\\r; a text of fewer words
+Very long texts are hashed a piece at a time. Texts: A-Z is lower-cased; words are runs of bytes other than space and \\t..\\r; a text of fewer words
 than a shingle is one shingle; a text without words (or null) has fingerprint 0, linked like any
 other. Rows with a null id have a fingerprint and component but can't name it. Repeated rows each give a
 row. Empty tables give empty results. Columns besides id and text are not read.
@@ -23,33 +23,56 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, spread_join, table
+from . import blocks
+from .common import Scratch, spread_join, table
 from .components import components
 
 SEED, SHINGLE_WORDS = 42, 3
 SEGMENTS, SEGMENT_BITS, MAX_DISTANCE = 16, 4, 2
-PAIR_CELL = 64
+#: Fingerprints in a cell before it is divided by the finer grid.
+FULL_CELL = 512
+#: Bytes of a text whose words are in memory at once (longer where no blank comes).
+PIECE = 1 << 20
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in parts of PIECE bytes or a little more, cut at blanks."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not text[end : end + 1].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text over the XXH64 of its shingles."""
-    words = text.lower().split()  # of bytes: A-Z, and the six blanks, only
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    k = min(shingle, len(words))
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1]
+    total, n, before = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    total = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        total += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+
+    def add(words: list[bytes], k: int) -> int:
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1]
+        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+        for a in range(0, len(hashes), 1 << 16):
+            total[:] += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        return len(hashes)
+
+    for part in pieces(text):
+        words = before + part.lower().split()  # of bytes: A-Z, and the six blanks, only
+        if len(words) >= shingle:
+            n += add(words, shingle)
+            words = words[len(words) - shingle + 1 :]
+        before = words
+    if not n and before:
+        n = add(before, len(before))
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -65,49 +88,70 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def cells(prints: DataFrame) -> DataFrame:
-    """(cell, f): each fingerprint at the grid points within Manhattan distance one of its bit counts, three bits a count."""
-    count = [F.bit_count(F.shiftright("f", SEGMENT_BITS * k).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))).cast("long") for k in range(SEGMENTS)]
+def cells(prints: DataFrame, name: str, spread: bool) -> DataFrame:
+    """prints (f and others) with a row for each grid point within Manhattan distance one of the bit counts of f, three bits a
+    count. Segments are neighbouring bits, or (spread) bits that lie SEGMENTS apart."""
+    if spread:
+        masks = [sum(1 << (k + SEGMENTS * j) for j in range(SEGMENT_BITS)) for k in range(SEGMENTS)]
+    else:
+        masks = [((1 << SEGMENT_BITS) - 1) << SEGMENT_BITS * k for k in range(SEGMENTS)]
+    count = [F.bit_count(F.col("f").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).cast("long") for m in masks]
     own = count[0]
     for k in range(1, SEGMENTS):
         own = own.bitwiseOR(F.shiftleft(count[k], 3 * k))
-    counted = prints.select("f", own.alias("own"))
+    counted = prints.withColumn("own", own)
     at = lambda k: F.shiftright("own", 3 * k).bitwiseAND(F.lit(7))
     near = [F.col("own")]
     for k in range(SEGMENTS):
         near += [F.when(at(k) < SEGMENT_BITS, F.col("own") + F.lit(1 << 3 * k)), F.when(at(k) > 0, F.col("own") - F.lit(1 << 3 * k))]
-    return counted.select("f", F.explode(F.array(*near)).alias("cell")).where("cell is not null")
+    return counted.withColumn(name, F.explode(F.array(*near))).where(F.col(name).isNotNull()).drop("own")
+
 
+def compared(rows: DataFrame) -> DataFrame:
+    """(a, b): links that connect what differs in MAX_DISTANCE bits or fewer within each cell and pair of blocks."""
+    keys = ["cell", "finer", "bi", "bj"]
 
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints f, enough to connect all that link."""
-    at = cells(prints)
-    full = durable(at.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    shared = durable(at.join(full, "cell"), "shared-cells")
-    few = shared.where(F.col("n") <= PAIR_CELL)
-    pairs = few.select("cell", F.col("f").alias("a")).join(few.select("cell", F.col("f").alias("b")), "cell").where((F.col("a") < F.col("b")) & (distance("a", "b") <= MAX_DISTANCE)).select("a", "b").distinct()
-    hot = shared.where(F.col("n") > PAIR_CELL).select("f").distinct()
-    flips = F.array(F.col("f"), *(F.col("f").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)))
-    strings = hot.select("f", F.explode(flips).alias("point"))
-    low = strings.groupBy("point").agg(F.min("f").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = strings.join(low, "point").select(F.col("f").alias("a"), "b").where((F.col("a") != F.col("b")) & (distance("a", "b") <= MAX_DISTANCE)).distinct()
-    return pairs.unionByName(stars)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in blocks.groups(batches, keys):
+            f, b = part.column("f").to_numpy(), part.column("b").to_numpy()
+            within = part.column("bi").to_numpy() == part.column("bj").to_numpy()
+            u = f.view(np.uint64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in blocks.index_pairs(at):
+                near = (np.bitwise_count(u[i] ^ u[j]) <= MAX_DISTANCE) & (within[i] | (b[i] != b[j]))
+                found.append((i[near], j[near]))
+            if found:
+                root = blocks.roots(len(f), np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+                tied = np.flatnonzero(root != np.arange(len(f)))
+                yield pa.RecordBatch.from_arrays([pa.array(f[tied]), pa.array(f[root[tied]])], names=["a", "b"])
+
+    dealt = rows.select(*keys, "b", "f").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links between distinct fingerprints f, enough to connect all that lie within MAX_DISTANCE bits."""
+    at = cells(prints, "cell", False)
+    full = scratch.table(at.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
+    shared = scratch.table(at.join(full, "cell"), "shared-cells")
+    few = shared.where(F.col("n") <= FULL_CELL).withColumn("finer", F.lit(0).cast("long"))
+    divided = cells(shared.where(F.col("n") > FULL_CELL).drop("n"), "finer", True)
+    finer = divided.groupBy("cell", "finer").agg(F.count("*").alias("n")).where("n > 1")
+    rows = few.unionByName(divided.join(finer, ["cell", "finer"]))
+    return scratch.table(compared(blocks.met(rows, "f", "n")), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """id, fingerprint, component_id (the smallest id reachable over links of two bits or fewer): a row for each row of docs."""
-    own = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    prints = durable(own.groupBy("fingerprint").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(links(prints.select(F.col("fingerprint").alias("f"))))
-    linked = durable(prints.join(roots, prints["fingerprint"] == roots["node"]).select("fingerprint", "root", "low"), "linked-fingerprints")
-    names = durable(linked.groupBy("root").agg(F.min("low").alias("name"), F.count("*").alias("n")), "names")
-    named = spread_join(linked, names, ["root"], linked.count()).select("fingerprint", "name")
-    named = durable(prints.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("name", "low").alias("component_id"), "n"), "named-fingerprints")
-    return spread_join(own, named, ["fingerprint"], own.count()).select(id_col, "fingerprint", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        own = scratch.kept(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        prints = scratch.table(own.groupBy("fingerprint").agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+        roots = components(links(prints.select(F.col("fingerprint").alias("f")), scratch), scratch)
+        linked = scratch.table(prints.join(roots, prints["fingerprint"] == roots["node"]).select("fingerprint", "root", "low"), "linked-fingerprints")
+        names = scratch.table(linked.groupBy("root").agg(F.min("low").alias("name"), F.count("*").alias("n")), "names")
+        named = spread_join(linked, names, ["root"], linked.count()).select("fingerprint", "name")
+        named = scratch.kept(prints.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("name", "low").alias("component_id"), "n"), "named-fingerprints")
+        return spread_join(own, named, ["fingerprint"], own.count()).select(id_col, "fingerprint", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
