@@ -7,14 +7,14 @@ of joins: each node gathers its neighbours and its best reverse neighbours with
 them are compared with each other, and each keeps the nearest of what its own gatherings told. Vectors
 travel as integers of 16 bits a component; vectors with equal ones are one node too; every round is written to the shared folder.
 
-Search: the graph is a bucketed table of nodes with their neighbours' vectors, so that each step only
+Search: the graph is a bucketed table of nodes with their neighbours' vectors, in the shared folder, so that each step only
 shuffles its frontier. A query keeps a beam of the nearest found, expands the best of those not
-yet expanded, and ends when all of the beam are. The whole beam, with all vectors of each of its nodes, is then scored in
+yet expanded, and ends when all of the beam are; no number of steps is set (a node is expanded at most once a query). The whole beam, with all vectors of each of its nodes, is then scored in
 double precision on the original vectors.
 
-Nearness is the cosine. Ids that are null, and vectors that are null, zero, hold null or non-finite
-components or have another length than most take no part. Of rows with one id the greatest vector
-counts. Ties go to the smaller id. Empty tables give empty results. Columns besides id and vector are not read.
+Nearness is the cosine; a vector shorter than others counts as followed by zeros. Ids that are null, and vectors that are
+null, zero or hold null or non-finite components take no part. Rows with one id are one vector, the greatest of them by
+component order. Ties go to the smaller id. Empty tables give empty results. Columns besides id and vector are not read.
 """
 
 from __future__ import annotations
@@ -27,25 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, release, table
+from .common import Scratch, delete, new_path, table
 
 NEIGHBOURS, REVERSE, ROUNDS = 24, 24, 5
 ORDERINGS, BLOCK, PLANES = 6, 512, 24
 TOLD = 12  # candidates that one gathering tells each of its members
-BEAM, EXPAND, STEPS = 256, 48, 24
+BEAM, EXPAND = 256, 48
 SEED = 6
 CODE = np.int16
 _LINK = "array<struct<s: double, v: long>>"
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, e): one row for each id that takes part, e as array<double>."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, scratch: Scratch) -> DataFrame:
+    """(id, e): one row for each id that takes part, e as array<double>, all of the greatest length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e")).where("id is not null and e is not null")
     finite = F.forall("e", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    rows = rows.where(finite & F.exists("e", lambda x: x != 0))
-    rows = durable(rows.groupBy("id").agg(F.max("e").alias("e")), "vectors")
-    most = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("e") == (most["d"] if most else 0))
+    rows = scratch.table(rows.where(finite & F.exists("e", lambda x: x != 0)).groupBy("id").agg(F.max("e").alias("e")), "vectors")
+    longest = rows.agg(F.max(F.size("e"))).first()[0] or 0
+    return rows.withColumn("e", F.concat("e", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("e"))))
 
 
 def coded(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,16 +185,16 @@ def told(around: DataFrame) -> DataFrame:
     return around.select("around").mapInArrow(run, f"u long, near {_LINK}")
 
 
-def build_graph(base: DataFrame, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(base: DataFrame, scratch: Scratch, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
     """(u, near: s, v) for each node of base (u, code, inv)."""
     links = first_links(base, 0, neighbours)
     for k in range(1, ORDERINGS):
         links = links.unionByName(first_links(base, k, neighbours))
-    graph = durable(merged(links, neighbours), "graph")
+    graph = scratch.table(merged(links, neighbours), "graph")
     for _ in range(rounds):
         last = graph
-        graph = durable(merged(last.unionByName(told(gathered(last, base, reverse))), neighbours), "graph")
-        release(base.sparkSession, last)
+        graph = scratch.table(merged(last.unionByName(told(gathered(last, base, reverse))), neighbours), "graph")
+        scratch.drop(last)
     return graph
 
 
@@ -251,27 +250,27 @@ def advanced(state: DataFrame, width: int, step: int) -> DataFrame:
     return state.select("q", "code", "inv", "beam", "found").mapInArrow(run, f"q long, code binary, inv double, beam {_BEAM}")
 
 
-def search(graph: DataFrame, base: DataFrame, queries: DataFrame, width: int = BEAM, step: int = EXPAND, reverse: int = REVERSE) -> DataFrame:
+def search(graph: DataFrame, base: DataFrame, queries: DataFrame, scratch: Scratch, width: int = BEAM, step: int = EXPAND, reverse: int = REVERSE) -> DataFrame:
     """(q, beam) for queries (q), nodes of the graph; each starts from its own node's neighbours."""
     spark = base.sparkSession
-    name = f"twinfold_graph_{uuid.uuid4().hex}"
+    name, path = f"twinfold_graph_{uuid.uuid4().hex}", new_path(spark, "graph-table")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered(graph, base, reverse).repartition(parts, "p").write.bucketBy(parts, "p").saveAsTable(name)
-    around = spark.table(name)
-    release(spark)
-    start = queries.join(base, queries["q"] == base["u"]).select("q", "code", "inv", F.array(F.struct(F.lit(9.0).alias("s"), F.col("q").alias("v"), F.lit(1).alias("x"))).alias("beam"))
-    state = durable(start, "beam")
-    for _ in range(STEPS):
-        worst = F.when(F.size("beam") >= width, F.element_at("beam", -1)["s"]).otherwise(F.lit(-9.0))
-        frontier = state.select("q", "code", "inv", worst.alias("worst"), F.explode(F.filter("beam", lambda b: b["x"] == 1)).alias("b")).select("q", "code", "inv", "worst", F.col("b.v").alias("p"))
-        found = expand(frontier.hint("shuffle_hash").join(around, "p")).groupBy("q").agg(F.collect_list("found").alias("found"))
-        last = state
-        state = durable(advanced(last.join(found, "q", "left"), width, step), "beam")
-        release(spark, last)
-        if state.where(F.exists("beam", lambda b: b["x"] == 1)).isEmpty():
-            break
-    spark.sql(f"DROP TABLE {name}")
-    return state
+    try:
+        gathered(graph, base, reverse).repartition(parts, "p").write.bucketBy(parts, "p").option("path", path).saveAsTable(name)
+        around = spark.table(name)
+        start = queries.join(base, queries["q"] == base["u"]).select("q", "code", "inv", F.array(F.struct(F.lit(9.0).alias("s"), F.col("q").alias("v"), F.lit(1).alias("x"))).alias("beam"))
+        state = scratch.table(start, "beam")
+        while not state.where(F.exists("beam", lambda b: b["x"] == 1)).isEmpty():
+            worst = F.when(F.size("beam") >= width, F.element_at("beam", -1)["s"]).otherwise(F.lit(-9.0))
+            frontier = state.select("q", "code", "inv", worst.alias("worst"), F.explode(F.filter("beam", lambda b: b["x"] == 1)).alias("b")).select("q", "code", "inv", "worst", F.col("b.v").alias("p"))
+            found = expand(frontier.hint("shuffle_hash").join(around, "p")).groupBy("q").agg(F.collect_list("found").alias("found"))
+            last = state
+            state = scratch.table(advanced(last.join(found, "q", "left"), width, step), "beam")
+            scratch.drop(last)
+        return state
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
 
 
 def exact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -291,23 +290,25 @@ def exact(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", width: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (a function of the id column) holds."""
-    rows = usable(vectors, id_col, vector_col)
-    low = Window.partitionBy("e").orderBy("id")
-    first = rows.select("id", "e", F.row_number().over(low).alias("rank"))
-    named = durable(first.where(F.col("rank") <= k + 1).groupBy("e").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    asked = durable(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "e").join(named.select("e", F.col("id").alias("q")), "e").select("query_id", "q"), "queries")
-    codes = durable(encode(named), "codes")
-    base = durable(codes.groupBy("code").agg(F.min("u").alias("u"), F.min("inv").alias("inv")).select("u", "code", "inv"), "codes")
-    members = durable(codes.join(base.select("code", F.col("u").alias("c")), "code").select("c", "u"), "members")
-    graph = build_graph(base)
-    own = asked.select(F.col("q").alias("u")).distinct().join(members, "u").select("c", F.col("u").alias("own"))
-    beams = search(graph, base, own.select(F.col("c").alias("q")).distinct(), width)
-    near = beams.select(F.col("q").alias("c"), F.explode("beam").alias("b")).select("c", F.col("b.v").alias("near"))
-    pairs = near.join(own, "c").select(F.col("own").alias("q"), F.col("near").alias("c")).join(members, "c").select("q", F.col("u").alias("v"))
-    scored = durable(exact(pairs, named), "scores").join(named.select(F.col("id").alias("v"), "ids"), "v")
-    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    named_rows = asked.join(scored.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "q").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id")).where("query_id <> vec_id")
-    return named_rows.withColumn("rank", top).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    with Scratch(vectors.sparkSession) as scratch:
+        rows = usable(vectors, id_col, vector_col, scratch)
+        low = Window.partitionBy("e").orderBy("id")
+        first = rows.select("id", "e", F.row_number().over(low).alias("rank"))
+        named = scratch.table(first.where(F.col("rank") <= k + 1).groupBy("e").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
+        asked = scratch.table(rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "e").join(named.select("e", F.col("id").alias("q")), "e").select("query_id", "q"), "queries")
+        codes = scratch.table(encode(named), "codes")
+        base = scratch.table(codes.groupBy("code").agg(F.min("u").alias("u"), F.min("inv").alias("inv")).select("u", "code", "inv"), "codes")
+        members = scratch.table(codes.join(base.select("code", F.col("u").alias("c")), "code").select("c", "u"), "members")
+        graph = build_graph(base, scratch)
+        own = asked.select(F.col("q").alias("u")).distinct().join(members, "u").select("c", F.col("u").alias("own"))
+        beams = search(graph, base, own.select(F.col("c").alias("q")).distinct(), scratch, width)
+        near = beams.select(F.col("q").alias("c"), F.explode("beam").alias("b")).select("c", F.col("b.v").alias("near"))
+        pairs = near.join(own, "c").select(F.col("own").alias("q"), F.col("near").alias("c")).join(members, "c").select("q", F.col("u").alias("v"))
+        scored = scratch.table(exact(pairs, named), "scores").join(named.select(F.col("id").alias("v"), "ids"), "v")
+        top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        named_rows = asked.join(scored.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found")), "q").select("query_id", F.explode("found").alias("f")).select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id")).where("query_id <> vec_id")
+        ranked = named_rows.withColumn("rank", top).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return scratch.kept(ranked, "nearest")
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
