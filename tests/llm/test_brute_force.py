@@ -10,13 +10,13 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinfold.llm import chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, queries, simhash, simhash_similar, substring_dedup, wordhash
+from twinfold.llm import blocks, chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, queries, simhash, substring_dedup, wordhash
+from twinfold.llm.common import Scratch
 from twinfold.llm.textstats import text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,10 +83,11 @@ def test_op1(spark, sf, texts):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in result(spark, sf, "op1_simhash").collect()} == {(i, f"{p:016x}", want[i]) for i, p in prints.items()}
 
 
-@pytest.mark.parametrize("cell", [2, 64])
-def test_links_in_hot_cells(spark, monkeypatch, cell):
-    """One large group of near fingerprints, cells over and under the size that forms pairs."""
-    monkeypatch.setattr(simhash, "PAIR_CELL", cell)
+@pytest.mark.parametrize(("cell", "block"), [(2, 1024), (512, 1024), (4, 5), (512, 9)])
+def test_links_in_full_cells(spark, monkeypatch, cell, block):
+    """Large groups of near fingerprints: cells over and under the size that the finer grid divides, in one block and many."""
+    monkeypatch.setattr(simhash, "FULL_CELL", cell)
+    monkeypatch.setattr(blocks.met, "__defaults__", (block,))
     rng = random.Random(cell)
     base = [rng.getrandbits(64) for _ in range(3)]
     prints = {k: base[k % 3] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ ((1 << rng.randrange(64)) if k % 2 else 0) for k in range(150)}
@@ -95,15 +96,33 @@ def test_links_in_hot_cells(spark, monkeypatch, cell):
         byval.setdefault(p, k)
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     table = spark.createDataFrame([(signed(p),) for p in byval], "f long")
-    roots = {r.node: r.root for r in components.components(simhash.links(table)).collect()}
+    with Scratch(spark) as scratch:
+        roots = {r.node: r.root for r in components.components(simhash.links(table, scratch), scratch).collect()}
     want = near({signed(p): p for p in byval})
     assert {p: roots.get(p, p) for p in want} == want
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abc") * rng.randrange(1, 9) for _ in range(n)) + tail for n in (0, 1, 2, 3, 40) for tail in ("", " ", "\n\nX")]
+    whole = [plain_fingerprint(t) for t in texts]
+    for piece in (1, 5, 17, 1 << 20):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t.encode()) for t in texts] == whole
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    plain = text_stats(np.frombuffer(raw, np.uint8), offsets)
+    for piece in (3, 16, 50):
+        monkeypatch.setattr(wordhash, "PIECE", piece)
+        parts = text_stats(np.frombuffer(raw, np.uint8), offsets)
+        assert all((parts[k] == plain[k]).all() for k in plain)
+
+
 def test_components_of_a_chain(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101)]
     random.Random(1).shuffle(edges)
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys((100, 101, 102), 100)}
 
 
@@ -187,8 +206,10 @@ def test_op5_terms(spark):
     assert all("Quuxine" in out[400 + k].clean_text for k in range(5))
 
 
-def test_op6_recall(spark, sf, con):
-    vectors = con.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchnumpy()
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1"])
+def test_op6_recall(spark, sf, con, name):
+    sf = sf.replace("sf0.001", name)
+    vectors = con.execute(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet' ORDER BY vec_id").fetchnumpy()
     ids, x = np.array(vectors["vec_id"]), np.stack(vectors["embedding"]).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got, hit, asked = {}, 0, np.flatnonzero(ids % 50 == 0)
@@ -310,21 +331,6 @@ def test_rates_follow_weights(spark):
     assert abs(counts["a"] - 2000) < 200 and abs(counts["b"] - 6000) < 300
 
 
-def test_similar_classes(spark):
-    rng, rows, k = random.Random(2), [], 0
-    for g in range(60):
-        words = [f"{rng.randrange(10**6)}" for _ in range(300)]
-        for m in range(4):
-            own = list(words)
-            for at in rng.sample(range(300), m):
-                own[at] = "changed"
-            rows.append((k, " ".join(own), g))
-            k += 1
-    got = {r.doc_id: r.component_id for r in simhash_similar.similar_classes(spark.createDataFrame(rows, "doc_id long, text string, g int")).collect()}
-    assert sum(got[i] == 4 * g for i, _, g in rows) >= 0.99 * len(rows)
-    assert all(got[i] // 4 == g for i, _, g in rows)
-
-
 def test_words_do_not_join_across_texts():
     parts = ["a b", "c", "", "d \n e"]
     raw = "".join(parts).encode()
@@ -357,60 +363,6 @@ def test_pipeline(spark, sf, texts):
     assert ids and ids <= after
 
 
-def test_crowds_link_as_groups_that_are_held():
-    rng = np.random.default_rng(3)
-    centres = rng.integers(0, 2**63, (4, 10)).astype(np.uint64)
-    rows = []
-    for k in range(900):
-        f = centres[rng.integers(4 if k > 300 else 2)].copy()
-        for bit in rng.integers(0, 640, 50):
-            f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        rows.append((1 if k < 3 else 5 if k < 880 else 9, k, f.tobytes()))
-
-    def parts(crowd_rows, size):
-        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + size], strict=True)], names=["key", "node", "f"]) for a in range(0, len(rows), size))
-        root = list(range(len(rows)))
-
-        def top(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        links = 0
-        for batch in simhash_similar.links_of(batches, 94, crowd_rows):
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root[top(a)] = top(b)
-                links += 1
-        return [top(x) for x in range(len(rows))], links
-
-    def same(x):
-        return [x.index(v) for v in x]
-
-    whole, n = parts(10**6, 10**6)
-    assert n < len(rows)
-    for crowd_rows, size in ((100, 37), (65, 500), (200, 901)):
-        assert same(parts(crowd_rows, size)[0]) == same(whole)
-
-
-@pytest.mark.parametrize(("versions", "families", "crowd_rows", "size"), [(60, 1, 10**6, 10**6), (100, 1, 10**6, 10**6), (300, 1, 10**6, 10**6), (2000, 1, 10**6, 10**6), (900, 3, 10**6, 10**6), (300, 1, 70, 41), (2000, 1, 500, 333), (900, 3, 100, 77), (600, 3, 65, 600)])
-def test_copies_of_copies_link_as_all_pairs(versions, families, crowd_rows, size):
-    """Each version is a copy of any earlier one of its family with 60 to 90 of 640 bits changed; links are up to 96 bits."""
-    rng = np.random.default_rng(versions + families)
-    made = [rng.integers(0, 2**63, 10).astype(np.uint64) for _ in range(families)]
-    for k in range(families, versions):
-        f = made[k % families + families * int(rng.integers((k - k % families) // families))].copy()
-        for bit in rng.choice(640, rng.integers(60, 91), replace=False):
-            f[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        made.append(f)
-    made = [made[k] for k in rng.permutation(versions)]
-    all_f = np.stack(made)
-    pairs = [(i, int(j)) for i in range(versions) for j in np.flatnonzero(np.bitwise_count(all_f[:i] ^ all_f[i]).sum(1) <= 96)]
-    want = joined(range(versions), pairs)
-    batches = (pa.RecordBatch.from_arrays([pa.array([7] * len(p)), pa.array(range(a, a + len(p))), pa.array([f.tobytes() for f in p])], names=["key", "node", "f"]) for a in range(0, versions, size) for p in [made[a : a + size]])
-    links = [pair for batch in simhash_similar.links_of(batches, 96, crowd_rows) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-    assert joined(range(versions), links) == want and len(set(want.values())) == families
-
-
 @pytest.mark.parametrize(("groups", "size", "noise"), [(4, 256, 0.01), (4, 256, 0.003), (1, 1000, 0.01), (4, 256, 0.0001)])
 def test_op6_recall_in_groups_of_near_copies(spark, groups, size, noise):
     rng = np.random.default_rng(size)

@@ -143,9 +143,9 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted and the statistics: a row for each row of docs. labels: id, quality."""
-    stats = durable(with_stats(docs, id_col, text_col), "classifier-stats")
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """id, columns named in also, held_out, score, predicted and the statistics: a row for each row of docs. labels: id, quality."""
+    stats = durable(with_stats(docs, id_col, text_col, also), "classifier-stats")
     held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
     model = fit(stats.where(~held_out).join(own, id_col))

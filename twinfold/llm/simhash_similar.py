@@ -1,320 +1,286 @@
-"""SimHash near-duplicates by similarity: classes of texts whose word shingles are 0.8 alike or more.
-
-At a Jaccard similarity of 0.8 two SimHashes differ in some 15 % of their bits: ten of 64, too many for a
-join of nearby fingerprints. So a text gets a long fingerprint, cut into tables of a few bits each: as many
-bits as tell all rows apart, and as many tables as find a pair at the similarity with 95 % chance (nearer pairs
-sooner). Texts equal in one table are compared by all bits: a pair links if they differ in no more than the
-share that the similarity expects. Of such links only those leave a table that connect what is not yet
-connected, so a group makes fewer links than it has rows. Groups in a table beyond PAIR_GROUP compare their
-rows with leaders, each the first that no earlier leader was near to, then rows of different classes with each other
-where the triangle inequality leaves it open, so they link as if all rows were compared; of those beyond CROWD_ROWS
-only the leaders are held in memory. Equal fingerprints are one node from the start; components are found by star rounds.
-
-Texts are lower-cased; words and shingles are as for the fingerprints of 64 bits, with polynomials for hashes; each shingle
-counts once in a text, as in the similarity. A null or empty
-text has no shingle and is no one's duplicate but of other empty texts. Rows with a null id belong to no class
-but their own. Repeated rows are copies. Empty tables give empty results. Columns besides id and text are not read.
+"""SimHash near-duplicates by similarity: classes of texts whose word shingles have a Jaccard similarity of 0.8 or more.
+
+A link is a pair of texts whose sets of shingles (of five words) are that similar, exactly; a class is what links
+connect. Texts with one set are one node from the start, sets being told apart by 128 bits. Pairs come from two
+sources, and each is checked on the whole sets before it links anything:
+
+1. SimHash, as in simhash.py: fingerprints of the sets, the grid join of their segments' bit counts, two bits or fewer.
+   That finds most copies at the least cost. At a similarity of 0.8, however, fingerprints differ in some
+   ten bits of 64, out of reach of a grid whose cells must stay selective; so
+2. what the grid can't see comes through rare shingles. In any order of all shingles, two sets of similarity 0.8
+   share one of the first n - ceil(0.8 n) + 1 of each. The order puts shingles first whose bucket, of a fixed number, counts
+   few in the corpus, so hardly any unrelated texts share one. Texts that share such a shingle and are not in one class yet
+   are a candidate unless their sizes, the places of the shingle or the number of shared ones rule the
+   similarity out. No bound here is an estimate: no pair of the similarity is lost, however large its group.
+
+Large groups first meet at pivots, by which most of a family of copies falls into one class, and then only
+pairs across classes are made, in pairs of blocks; those are checked by rounds, the likeliest of each two classes first.
+
+Texts are lower-cased; words are as for the fingerprints of op1; a text of fewer words than a shingle is one shingle. A null or
+empty text has no shingle and is alike only to other empty texts. Rows with a null id belong to no class. Repeated rows are copies.
+Very long texts are expanded a piece at a time. Ties go to the smaller id. Empty tables give empty results. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
-import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks, simhash
 from . import wordhash as wh
-from .common import durable, spread_join, text_slices
+from .common import Scratch, chosen, spread_join, text_slices, tree_sum
 from .components import components
 
-SHINGLE_WORDS, SIMILARITY, CHANCE = 5, 0.8, 0.95
-PAIR_GROUP = 64
-#: Groups of a table beyond this many rows are not held in memory.
-CROWD_ROWS = 16_384
-#: The eight bits of a byte as eight byte lanes.
-_LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Shingles are counted in so many buckets (2 ** SKETCH_BITS counts of 32 bits each).
+SKETCH_BITS = 18
+#: Groups from this size on meet at pivots first.
+PIVOT_GROUP, PIVOTS, PIVOT_ROUNDS = 64, 2, 2
+#: Pairs between two classes that the first round checks; each round checks so many times more.
+FIRST_PAIRS, MORE_PAIRS = 2, 16
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def differing(similarity: float) -> float:
-    """The share of bits that differ at a Jaccard similarity of shingle sets of one size."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def tables_for(rows: int, similarity: float = SIMILARITY, chance: float = CHANCE) -> tuple[int, int]:
-    """Bits of a table's key, and tables."""
-    bits = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
-    return bits, math.ceil(math.log(1 - chance) / math.log(1 - (1 - differing(similarity)) ** bits))
-
-
-def long_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words64: int) -> np.ndarray:
-    """[text, word of 64 bits]; a bit is set if it is in over half of the hashes of the text's distinct shingles."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct shingles of each text, in that order."""
     w = wh.words_of(data, offsets)
-    n = len(offsets) - 1
     at, hashes = w.windows(shingle)
     doc = w.doc[at]
     short = np.flatnonzero((w.counts() > 0) & (w.counts() < shingle))
     if len(short):
-        doc = np.concatenate([doc, short])
+        doc = np.concatenate([doc, short.astype(np.int32)])
         hashes = np.concatenate([hashes, wh.spans_hash(w.hashes, w.first[short], w.first[short + 1], 1)])
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
-    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])])[: len(doc)]
-    doc, hashes = doc[fresh], hashes[fresh]
-    out = np.zeros((n, words64), np.uint64)
-    if not len(doc):
-        return out
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    # byte lanes hold counts up to 255: sums are taken over runs of so many shingles, then over texts
-    pos = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-    runs = np.flatnonzero(pos % 255 == 0)
-    run_first = np.searchsorted(runs, first)
-    counts = np.diff(np.append(first, len(doc)))
-    for k in range(words64):
-        lanes = _LANES[wh.mix(hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))).view(np.uint8)].reshape(-1, 8)
-        part = np.add.reduceat(lanes, runs, axis=0).view(np.uint8).reshape(-1, 64)
-        total = np.add.reduceat(part.astype(np.int64), run_first, axis=0)
-        out[doc[first], k] = np.packbits(2 * total > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return doc[fresh], hashes[fresh]
+
+
+def fingerprints(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash of each of n sets; 0 for an empty one."""
+    total = np.zeros((n, 64), np.int64)
+    for a in range(0, len(doc), 1 << 15):
+        own = doc[a : a + (1 << 15)]
+        bits = np.unpackbits(wh.mix(hashes[a : a + (1 << 15)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        total[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * total > np.bincount(doc, minlength=n)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def described(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, sig (of the set), n (its size), f (its SimHash) of each row of id, text; and for each task a row with the
+    counts of its shingles by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        names = ["id", "sig", "n", "f", "counts"]
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                doc, h = shingle_sets(data, offsets, shingle)
+                sums = np.zeros((b - a, 2), np.uint64)
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+                if len(doc):
+                    sums[doc[first], 0] = np.add.reduceat(wh.mix(h), first)
+                    sums[doc[first], 1] = np.add.reduceat(wh.mix(h ^ _SECOND), first)
+                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                f = fingerprints(doc, h, b - a).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sums]), pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)), pa.array(f), pa.nulls(b - a, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()])], names=names)
+
+    return texts.mapInArrow(run, "id long, sig binary, n long, f long, counts binary")
+
 
+def ranks_of(counts: np.ndarray | None) -> np.ndarray:
+    """The place of each bucket in the order: the power of two by which it counts more than the middle one."""
+    if counts is None:
+        return np.zeros(1 << SKETCH_BITS, np.uint8)
+    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))), 0).astype(np.uint8)
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int) -> DataFrame:
-    """(id, f) of each row, f as binary."""
-    words64 = math.ceil(bits / 64)
+
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float, ranks: np.ndarray) -> DataFrame:
+    """token, node, n, pos: the first shingles of each text in the common order, and their places."""
+    cast = texts.sparkSession.sparkContext.broadcast(ranks)  # 2 ** SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
-                f = long_fingerprints(data, offsets, shingle, words64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([row.tobytes() for row in f])], names=["id", "f"])
+                doc, h = shingle_sets(data, offsets, shingle)
+                place = cast.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.argsort(doc.astype(np.int64) << 8 | place, kind="stable")
+                doc, h = doc[order], h[order]
+                n = np.bincount(doc, minlength=b - a)
+                pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                keep = pos < prefix_size(n, similarity)[doc]
+                doc = doc[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(n[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "n", "pos"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text")).mapInArrow(run, "id long, f binary")
+    return texts.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def table_rows(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
-    """(key, node, f): a row for each table of each fingerprint; the key holds the table's number."""
+def sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, s: the sorted shingles of each text as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(a, 512) for a in range(0, batch.num_rows, 512)):
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : key_bits * tables].reshape(part.num_rows, tables, key_bits)
-                keys = (bits.astype(np.int64) << np.arange(key_bits)).sum(2) | (np.arange(tables, dtype=np.int64) << key_bits)
-                row = pa.array(np.repeat(np.arange(part.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(row), part.column(1).take(row)], names=["key", "node", "f"])
-
-    return nodes.select("node", "f").mapInArrow(run, "key long, node long, f binary")
-
-
-def forest(node: np.ndarray, f: np.ndarray, most: int, large: bool, lead: int | None = None) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-    """Links that connect what lies within most bits of a leader, which rows lead, and each row's class. In a small group each row is a leader; in a
-    large one each that no earlier leader was near to, of the first lead rows if given. A link that would close a circle is not made."""
-    n = len(node)
-    label, covered = np.arange(n), np.zeros(n, bool)
-    a, b, leaders = [], [], []
-    for i in range(n if lead is None else lead):
-        if large and covered[i]:
-            continue
-        leaders.append(i)
-        near = np.flatnonzero(np.bitwise_count(f ^ f[i]).sum(1) <= most)
-        covered[near] = True
-        parts, first = np.unique(label[near], return_index=True)
-        other = parts != label[i]
-        if other.any():
-            a += [int(node[i])] * int(other.sum())
-            b += node[near[first[other]]].tolist()
-            label[np.isin(label, parts)] = label[i]
-    return a, b, np.array(leaders, np.int64), label
-
-
-def bridges(node: np.ndarray, f: np.ndarray, most: int, leaders: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links that connect the classes of a large group's forest whose rows lie within most bits of each other. Each row lies
-    within most bits of a leader, so one near to it differs from that leader in no more than twice as many."""
-    a, b = [], []
-    for i in leaders.tolist():
-        if (label == label[i]).all():
-            break
-        far = np.bitwise_count(f ^ f[i]).sum(1)
-        other = np.flatnonzero((far <= 2 * most) & (label != label[i]))
-        if not len(other):
-            continue
-        own = np.flatnonzero(far <= most)
-        own_f = f[own]
-        for k in other.tolist():
-            if label[k] == label[i]:
-                continue
-            near = np.flatnonzero(np.bitwise_count(own_f ^ f[k]).sum(1) <= most)
-            if len(near):
-                a.append(int(node[k]))
-                b.append(int(node[own[near[0]]]))
-                label[label == label[k]] = label[i]
-    return a, b
-
-
-def arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    node = rows.column("node").to_numpy()
-    return node, np.frombuffer(b"".join(rows.column("f").to_pylist()), np.uint64).reshape(len(node), -1)
-
-
-def linked(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-class Crowd:
-    """A group too large to hold: only its leaders stay in memory, its rows go to an unnamed temporary file and are
-    read once more if leaders came up after them, so that each row meets all leaders whatever the order. If more than one
-    class is left, rows that may be near to one of another class go to a second file and meet each other part by part."""
-
-    def __init__(self, key: int, most: int):
-        self.key, self.most = key, most
-        self.node, self.f = np.empty(0, np.int64), None
-        self.file, self.parts = tempfile.TemporaryFile(), []
-
-    def add(self, rows: pa.Table) -> pa.RecordBatch:
-        node, f = arrays(rows)
-        known = len(self.node)
-        all_node, all_f = np.concatenate([self.node, node]), f if self.f is None else np.concatenate([self.f, f])
-        a, b, leaders, _ = forest(all_node, all_f, self.most, True)
-        self.node, self.f = all_node[leaders], all_f[leaders]
-        assert len(self.node) >= known
-        self.file.write(node.tobytes() + f.tobytes())
-        self.parts.append((len(node), len(self.node)))
-        return linked(a, b)
-
-    def ended(self) -> Iterator[pa.RecordBatch]:
-        width = self.f.shape[1]
-        self.file.seek(0)
-        for n, known in self.parts:
-            if known == len(self.node):
-                break  # no leader came after this part, nor after the next ones
-            node = np.frombuffer(self.file.read(8 * n), np.int64)
-            f = np.frombuffer(self.file.read(8 * n * width), np.uint64).reshape(n, width)
-            later = len(self.node) - known
-            a, b, _, _ = forest(np.concatenate([self.node[known:], node]), np.concatenate([self.f[known:], f]), self.most, True, later)
-            yield linked(a, b)
-        yield from self.bridged()
-        self.file.close()
-
-    def rows(self, file, sizes: list[int], lists: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """The parts of a file: so many arrays of integers, and the fingerprints."""
-        width, at = self.f.shape[1], 0
-        for n in sizes:
-            file.seek(at)
-            at += 8 * n * (lists + width)
-            numbers = [np.frombuffer(file.read(8 * n), np.int64) for _ in range(lists)]
-            yield numbers, np.frombuffer(file.read(8 * n * width), np.uint64).reshape(n, width)
-
-    def bridged(self) -> Iterator[pa.RecordBatch]:
-        label = np.arange(len(self.node))
-
-        def one() -> bool:
-            return bool((label == label[0]).all())
-
-        def meet(f: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-            for i in range(len(label)):
-                yield i, np.flatnonzero(np.bitwise_count(f ^ self.f[i]).sum(1) <= limit)
-
-        sizes = [n for n, _ in self.parts]
-        for _, f in self.rows(self.file, sizes, 1):  # classes of leaders
-            if one():
-                return
-            first = np.full(len(f), -1)
-            for i, near in meet(f, self.most):
-                parts = np.unique(label[first[near[first[near] >= 0]]])
-                if len(parts):
-                    label[np.isin(label, parts)] = label[i]
-                first[near[first[near] < 0]] = i
-        if one():
-            return
-        with tempfile.TemporaryFile() as file:
-            left = []
-            for (node,), f in self.rows(self.file, sizes, 1):
-                first, may = np.full(len(f), -1), np.zeros(len(f), bool)
-                for i, near in meet(f, self.most):
-                    first[near[first[near] < 0]] = i
-                for i, near in meet(f, 2 * self.most):
-                    may[near[label[first[near]] != label[i]]] = True
-                if may.any():
-                    file.write(node[may].tobytes() + first[may].tobytes() + f[may].tobytes())
-                    left.append(int(may.sum()))
-            for k, ((node, first), f) in enumerate(self.rows(file, left, 2)):
-                a, b = [], []
-                for j, ((other, its_first), g) in enumerate(self.rows(file, left, 2)):
-                    if j < k:
-                        continue
-                    for i in range(len(node)):
-                        apart = np.flatnonzero(label[its_first] != label[first[i]])
-                        near = apart[np.bitwise_count(g[apart] ^ f[i]).sum(1) <= self.most]
-                        parts, at = np.unique(label[its_first[near]], return_index=True)
-                        a += [int(node[i])] * len(parts)
-                        b += other[near[at]].tolist()
-                        label[np.isin(label, parts)] = label[first[i]]
-                yield linked(a, b)
-
-
-def links_of(batches: Iterator[pa.RecordBatch], most: int, crowd_rows: int = CROWD_ROWS) -> Iterator[pa.RecordBatch]:
-    """(a, b) of key, node, f that come sorted by key. No more than crowd_rows and a batch are held, and a crowd's leaders."""
-    held: pa.Table | None = None
-    crowd: Crowd | None = None
-
-    def ended(part: pa.Table, key: np.ndarray) -> pa.RecordBatch:
-        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        several = np.flatnonzero(np.diff(edges) > 1)
-        node, f = arrays(part)
-        a, b = [], []
-        for k in several.tolist():
-            own, its_f, large = node[edges[k] : edges[k + 1]], f[edges[k] : edges[k + 1]], edges[k + 1] - edges[k] > PAIR_GROUP
-            more_a, more_b, leaders, label = forest(own, its_f, most, large)
-            a += more_a
-            b += more_b
-            if large:
-                more_a, more_b = bridges(own, its_f, most, leaders, label)
-                a += more_a
-                b += more_b
-        return linked(a, b)
-
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        if crowd is not None and now.num_rows:
-            own = int(np.searchsorted(now.column("key").to_numpy(), crowd.key, "right"))
-            if own:
-                yield crowd.add(now.slice(0, own))
-            now = now.slice(own)
-            if now.num_rows:
-                yield from crowd.ended()
-                crowd = None
-        if not now.num_rows:
-            continue
-        held = pa.concat_tables([held, now]) if held is not None else now
-        key = held.column("key").to_numpy()
-        upto = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on in the next batch
-        if upto:
-            yield ended(held.slice(0, upto), key[:upto])
-            held = held.slice(upto)
-        if held.num_rows > crowd_rows:
-            crowd = Crowd(int(key[-1]), most)
-            yield crowd.add(held)
-            held = None
-    if crowd is not None:
-        yield from crowd.ended()
-    if held is not None and held.num_rows:
-        yield ended(held, held.column("key").to_numpy())
-
-
-def near_in_tables(rows: DataFrame, most: int) -> DataFrame:
-    """(a, b): links between rows of one key that differ in no more than most bits."""
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: links_of(batches, most), "a long, b long")
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                doc, h = shingle_sets(data, offsets, shingle)
+                edges = np.searchsorted(doc, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], names=["id", "s"])
+
+    return texts.mapInArrow(run, "id long, s binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; texts: id, text."""
+    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    held = scratch.table(sets(chosen(texts, ids, "id", ids.count()), shingle), "sets")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    out = scratch.table(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "similar-pairs")
+    scratch.drop(ids, held)
+    return out
+
+
+def possible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sets may still be similar, by their sizes and the places of a shared shingle."""
+    need = np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-9)
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) - 1 >= need)
+
+
+def labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """rows with the class of the node in a column, by default the node itself."""
+    known = labels.select(F.col("node").alias(column), F.col("root").alias("__tf_root"))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce("__tf_root", column)).drop("__tf_root")
+
+
+def at_pivots(meetings: DataFrame, labels: DataFrame, similarity: float, seed: int) -> DataFrame:
+    """(a, b): rows of large groups with the first few of their block in random order, where the classes differ."""
+    rows = labelled(meetings.where(F.col("size") >= PIVOT_GROUP), "node", labels, "label").withColumn("block", blocks.block_of("node", F.col("size"))).withColumn("place", F.xxhash64("node", F.lit(seed)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in blocks.groups(batches, ["token", "block"]):
+            node, n, pos, label = (part.column(c).to_numpy() for c in ("node", "n", "pos", "label"))
+            first, size = np.repeat(at[:-1], np.diff(at)), np.repeat(np.diff(at), np.diff(at))
+            for k in range(PIVOTS):
+                j = np.flatnonzero((np.arange(len(node)) - first > k) & (size > k))
+                i = first[j] + k
+                ok = (label[i] != label[j]) & possible(n[i], n[j], pos[i], pos[j], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i[ok]], node[j[ok]])), pa.array(np.maximum(node[i[ok]], node[j[ok]]))], names=["a", "b"])
+
+    dealt = rows.select("token", "block", "place", "node", "n", "pos", "label").repartition("token", "block").sortWithinPartitions("token", "block", "place", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def candidates(meetings: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """a, b, c (how many first shingles they share): all pairs of different classes that may be similar."""
+    rows = labelled(meetings, "node", labels, "label")
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    keys = ["token", "bi", "bj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in blocks.groups(batches, keys):
+            node, n, pos, label, b, bi, bj = (part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "b", "bi", "bj"))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            # rows of one class stand together: each row only meets what comes after its class
+            new = np.ones(len(node) + 1, bool)
+            new[1:-1] = label[1:] != label[:-1]
+            new[at] = True
+            edges = np.flatnonzero(new)
+            after = np.repeat(edges[1:], np.diff(edges))
+            for i, j in blocks.index_pairs(at, after):
+                ok = ((bi[i] == bj[i]) | (b[i] != b[j])) & possible(n[i], n[j], pos[i], pos[j], similarity)
+                i, j = i[ok], j[ok]
+                swap = node[i] > node[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(n[i]), pa.array(n[j])], names=["a", "b", "na", "nb"])
+
+    open_ = rows.join(mixed, "token", "left_semi")
+    dealt = blocks.met(open_, "node", "size").select(*keys, "b", "label", "node", "n", "pos").repartition(*keys).sortWithinPartitions(*keys, "label", "node")
+    told = dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    # beyond the shared first shingles two sets share no more than what follows the prefix of one of them
+    rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return told.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b", "c")
+
+
+def by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of nodes that the grid join of their SimHashes connects."""
+    prints = scratch.table(nodes.groupBy("f").agg(F.min("node").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+    near = simhash.links(prints.select("f"), scratch)
+    low = prints.select("f", "low")
+    across = near.join(low.select(F.col("f").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("f").alias("b"), F.col("low").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = spread_join(nodes.select("f", "node"), prints, ["f"], nodes.count()).where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return scratch.table(across.unionByName(same).distinct(), "near-fingerprints")
+
+
+ROW = "__tf_row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written to the shared folder so that it stays the same."""
+    return docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, component): the class of each row, named by its smallest row number. Row numbers are whole, unique and not null, and stay the
+    same whenever rows is read."""
+    with Scratch(rows.sparkSession) as scratch:
+        texts = rows.select(F.col(row_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+        told = scratch.table(described(texts, shingle), "sets-described")
+        ranks = ranks_of(tree_sum(told.where("counts is not null").select("counts"), np.int32, scratch))
+        own = scratch.kept(told.where("counts is null").select("id", "sig", "n", "f"), "rows-described")
+        nodes = scratch.table(own.groupBy("sig").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("f").alias("f"), F.max("n").alias("size")), "nodes")
+        filled = nodes.where("size > 0")
+        links = verified(by_fingerprint(filled.select("node", "f"), scratch), texts, shingle, similarity, scratch)
+        unique = texts.join(filled.select(F.col("node").alias("id")), "id", "left_semi")
+        first = scratch.table(prefixes(unique, shingle, similarity, ranks), "first-shingles")
+        shared = scratch.table(first.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared-shingles")
+        meetings = scratch.table(spread_join(first.withColumnRenamed("n", "n_own"), shared.withColumn("n", F.col("size")), ["token"], first.count()).withColumnRenamed("n_own", "n"), "meetings")
+        scratch.drop(first, shared)
+        labels = components(links, scratch)
+        for seed in range(PIVOT_ROUNDS):
+            pairs = scratch.table(at_pivots(meetings, labels, similarity, seed), "pivot-pairs")
+            if pairs.isEmpty():
+                break
+            links = links.unionByName(verified(pairs, texts, shingle, similarity, scratch))
+            labels = components(links, scratch)
+        left, most = scratch.table(candidates(meetings, labels, similarity), "candidates"), FIRST_PAIRS
+        while True:
+            apart = labelled(labelled(left.select("a", "b", "c"), "a", labels, "la"), "b", labels, "lb").where("la <> lb")
+            likely = F.row_number().over(Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("c"), "a", "b"))
+            left = scratch.table(apart.withColumn("rank", likely), "open-pairs")
+            if left.isEmpty():
+                break
+            links = links.unionByName(verified(left.where(F.col("rank") <= most).select("a", "b"), texts, shingle, similarity, scratch))
+            labels = components(links, scratch)
+            left, most = left.where(F.col("rank") > most), most * MORE_PAIRS
+        named = scratch.kept(nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component"), "n"), "named-sets")
+        return spread_join(own.select(F.col("id").alias(row_col), "sig"), named, ["sig"], own.count()).select(row_col, "component")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component_id): the class of each row with an id, named by its smallest id."""
-    key_bits, tables = tables_for(docs.count(), similarity)
-    bits = 64 * math.ceil(key_bits * tables / 64)
-    own = durable(with_fingerprints(docs, id_col, text_col, shingle, bits).where("id is not null"), "long-fingerprints")
-    nodes = durable(own.groupBy("f").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
-    roots = components(near_in_tables(table_rows(nodes, key_bits, tables), math.floor(differing(similarity) * bits)))
-    named = durable(nodes.join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("component_id"), "n"), "named-fingerprints")
-    return spread_join(own, named, ["f"], own.count()).select(F.col("id").alias(id_col), "component_id")
+    """(id, component_id): the class of each row, named by its smallest id; null ids name none."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.table(with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "rows")
+        classes = scratch.table(similar_rows(rows, ROW, "text", shingle, similarity), "row-classes")
+        own = scratch.kept(rows.select("id", ROW).join(classes, ROW).select("id", "component"), "ids")
+        names = scratch.kept(own.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "names")
+        return spread_join(own, names, ["component"], own.count()).select(F.col("id").alias(id_col), "component_id")

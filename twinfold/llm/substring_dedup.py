@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash as wh
-from .common import durable, release, spread_join, table, text_slices
+from .common import durable, spread_join, table, text_slices
 
 WINDOW, GRAM = 35, 8
 _CONTEXT, _WINDOW = 2, 3  # bases of the hashes
@@ -201,16 +201,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = anchors.join(blocks, "h").groupBy("c").agg(F.collect_set(F.struct("p", "full")).alias("at"), F.count("*").alias("n")).select("c", "at", (F.col("n") > F.size("at")).alias("copied"))
     at = durable(at, "factors")
     candidates = durable(without_repeats(keyed.select("c", "text").join(at, "c").select("c", "text", "at", "copied")), "factored-texts")
-    release(docs.sparkSession, blocks, at)
+
     windows = durable(boundary_windows(candidates, window, gram), "boundaries")
     place = F.xxhash64("c", "start")
     equal = windows.groupBy("h", "v").agg(F.max("copied").alias("copied"), F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("copied or low <> high").select("h", "v", "n")
     equal = durable(equal, "equal-windows")
-    release(docs.sparkSession)  # the shuffle above isn't needed any more
+
     starts = durable(spread_join(windows, equal, ["h", "v"], windows.count(), "left_semi").groupBy("c").agg(F.collect_set("start").alias("starts")), "starts")
-    release(docs.sparkSession, windows, equal)
+
     found = durable(factored(candidates.join(starts, "c", "left").select("c", "text", "at", "starts", "copied"), window, gram).dropDuplicates(["c"]), "spans")
-    release(docs.sparkSession, candidates, starts)
+
     out = indexed.join(found, "c", "left")
     return out.select(id_col, "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"), "spans")
 
