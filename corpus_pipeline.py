@@ -11,22 +11,26 @@ from pyspark.sql import functions as F
 
 from twinfold.llm import mixing, packing, pii, quality_classifier, simhash_similar
 from twinfold.llm.common import durable, table
+from twinfold.llm.simhash_similar import ROW
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; equal ids are judged together, by their lowest score."""
+    """Rows that the classifier rejects go, each by its own text. Only rows of labels teach it."""
+    rows = durable(simhash_similar.with_rows(docs), "rows")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rejected = durable(quality_classifier.classify(docs, labels).where("predicted = 0").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    rejected = quality_classifier.classify(rows, labels, also=(ROW,)).where("predicted = 0").select(ROW)
+    return rows.join(rejected, ROW, "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that with the smallest id; rows without an id stay."""
-    classes = simhash_similar.similar_classes(docs)
-    gone = durable(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near-duplicates stays, that with the smallest id (nulls last); of equal ids any one."""
+    rows = durable(simhash_similar.with_rows(docs), "rows")
+    classes = simhash_similar.similar_rows(rows)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    stays = rows.select("doc_id", ROW).join(classes, ROW).groupBy("component").agg(F.min(place).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(durable(stays, "rows-that-stay"), ROW, "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
