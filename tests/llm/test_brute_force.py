@@ -256,6 +256,62 @@ def test_substring_dedup_on_few_words(spark, seed):
     assert got == plain_dedup(docs, 9)
 
 
+def check_factors(rows, window):
+    """Each factor equals the text at its source, no match at its start is longer, and it ends where the next may begin."""
+    words = {r.content: WORD.findall(r.text) for r in rows if r.content is not None}
+    where = {}
+    for c, w in words.items():
+        for k in range(len(w) - window + 1):
+            where.setdefault(tuple(w[k : k + window]), []).append((c, k))
+    exact = longest = 0
+    for r in rows:
+        own, at = words.get(r.content), 0
+        for f in r.factors or []:
+            other = words[f.source]
+            assert f.length >= window and f.start >= at and own[f.start : f.start + f.length] == other[f.offset : f.offset + f.length]
+            at = f.start + f.length
+            exact += 1
+            best = 0
+            for c, k in where[tuple(own[f.start : f.start + window])]:
+                if (c, k) != (r.content, f.start):
+                    n = window
+                    while f.start + n < len(own) and k + n < len(words[c]) and own[f.start + n] == words[c][k + n]:
+                        n += 1
+                    best = max(best, n)
+            longest += f.length >= best
+        inside = {k for f in r.factors or [] for k in range(f.start, f.start + f.length)}
+        assert inside <= {k for s in r.spans or [] for k in range(s.start, s.end)}
+    return exact, longest
+
+
+def test_factors(spark, sf, texts):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = substring_dedup.substring_dedup(docs).join(docs, "doc_id").collect()
+    exact, longest = check_factors(rows, 35)
+    assert longest >= 0.9 * exact > 0  # in a text that repeats itself a farther place may match longer than the neighbours
+
+
+def test_greedy_takes_the_longest_and_goes_on_at_its_end():
+    assert substring_dedup.greedy([(0, 40, 1, 5), (3, 90, 2, 0), (10, 60, 3, 7), (50, 130, 4, -2), (200, 240, 5, 1)], 35) == [(0, 40, 1, 5), (40, 50, 2, 40), (90, 40, 4, 88), (200, 40, 5, 201)]
+    assert substring_dedup.greedy([(0, 40, 1, 0), (6, 41, 2, 0)], 35) == [(0, 40, 1, 0)] and substring_dedup.greedy([], 35) == []
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_passages_in_many_surroundings(spark, parts):
+    """A passage cut at every place on both sides, so that the index holds many blocks of one anchor that differ at either end."""
+    rng = random.Random(parts)
+    common = [f"c{k}" for k in range(60)]
+    docs = []
+    for k in range(120):
+        a, b = sorted(rng.sample(range(61), 2))
+        docs.append((k, " ".join([f"{rng.randrange(9)}" for _ in range(rng.randrange(20))] + common[a:b] + [f"{rng.randrange(9)}" for _ in range(rng.randrange(20))])))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    rows = substring_dedup.substring_dedup(table, window=9, gram=3).join(table, "doc_id").collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == plain_dedup(docs, 9)
+    exact, longest = check_factors(rows, 9)
+    assert longest >= 0.9 * exact > 0
+
+
 def test_op8_held_out(spark, sf, con):
     sf = sf.replace("sf0.001", "sf0.01")
     quality = dict(con.execute(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())

@@ -1,20 +1,29 @@
 """Substring dedup by relative Lempel-Ziv parsing against the corpus itself.
 
-The reference is every document, indexed in blocks. A block is an anchor: an 8-word gram whose hash is the
+The reference is every document, indexed in blocks. A block is an anchor, an 8-word gram whose hash is the
 least among the 28 of some 35-word window, with the 27 words before and after it. Equal windows
-choose equal anchors, so whatever factor of 35 words or more a document shares with any block, its own anchors
-look up that block. Where all blocks of an anchor agree to both ends, the factor runs over the whole
-block at once. Where they differ, its boundaries lie inside; there each window of the anchor is looked
-up among the windows of all other blocks of that anchor, which finds the longest factors exactly. The windows
-inside factors of 35 words or more are the duplicate spans; all their words go, in every place.
+choose equal anchors, so a factor of 35 words or more shares an anchor with any place that it equals.
 
-Anchors, contexts and windows are compared by hashes of 64 bits each, windows always together with
-their anchor's (128 bits). Equal texts share one row from the first join on (key: MD5 of the text), a
-common passage meets others only in counts, minima and maxima that are formed before the shuffle.
+Index: the blocks of each anchor are sorted twice, by the words after it and by the words before it, over range
+partitions, so that no popular anchor is one task's. In such an order the longest match to that side is with a
+neighbour: comparing each block with a few neighbours gives its matches (how far to the left and to the right) and the
+farthest that any block agrees to either side. Anchors whose blocks all agree need no words: they match over the whole block.
+
+Parse: matches with one place on one diagonal join to longer ones. From the left, a text takes the longest match at each
+word as a factor (document, start, length, source, offset) and goes on at its end; where none of 35 words
+begins, it goes on at the next that does. (In a text that repeats itself many blocks are equal, and a place that isn't a
+neighbour may match longer.) Factors and matches of 35 words or more are duplicate spans. At the boundaries
+of matches a window may equal one place to its left and another to its right part by part, and whole a third one that no neighbour
+showed. Those windows (that the farthest agreements don't rule out) are looked up by hash among all windows of
+their anchor, so the spans are exact.
+
+Words are compared by hashes of 64 bits, windows at boundaries by 64 bits together with those of their anchor, equal
+texts by MD5. Equal texts are one content from the start, before any text is shuffled: the first of a common one is
+chosen where it is read. A content of several rows goes as a whole, if it has a window.
 
 Words are runs of bytes other than space and \\t..\\r, unchanged. A null text is an empty one: no words.
-Windows never cross documents. Repeated rows are copies of each other. Empty tables give empty results.
-Columns besides id and text are not read.
+Windows never cross documents. Repeated rows are copies of each other. A very long text is expanded a piece at a time. Ties between
+factors go to the smaller source. Empty tables give empty results. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks
 from . import wordhash as wh
-from .common import durable, spread_join, table, text_slices
+from .common import COMMON_SHARE, Scratch, spread_join, table, text_slices
 
 WINDOW, GRAM = 35, 8
+#: Neighbours to each side that a block is compared with.
+NEIGHBOURS = 4
 _CONTEXT, _WINDOW = 2, 3  # bases of the hashes
 
 
@@ -106,113 +118,353 @@ def index(keyed: DataFrame, id_col: str, window: int, gram: int) -> DataFrame:
     return keyed.select(id_col, "text", "c").mapInArrow(run, schema)
 
 
-def without_repeats(joined: DataFrame) -> DataFrame:
-    """c, text, at, copied with runs of one c cut to a row (equal c have equal rows; more may stay)."""
+def with_lists(texts: DataFrame, lists_: DataFrame) -> DataFrame:
+    """(cid, text, at): one text of c, text for each row of c, cid, at; a single shuffle brings both together."""
+    kind = dict(lists_.dtypes)["at"]
+    rows = lists_.select("c", "cid", "at", F.lit(None).cast("string").alias("text")).unionByName(texts.select("c", F.lit(None).cast("long").alias("cid"), F.lit(None).cast(kind).alias("at"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        held = None
         for batch in batches:
-            c = batch.column(0).to_pylist()
-            fresh = [k for k in range(len(c)) if c[k] != (c[k - 1] if k else last)]
-            last = c[-1] if c else last
-            yield batch.take(pa.array(fresh, pa.int64()))
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            c, known = now.column("c").to_pylist(), now.column("cid").is_valid().to_numpy()
+            own, picked, last, met = [], [], None, False
+            for k in range(len(c)):
+                if known[k]:
+                    last, met = k, False
+                elif last is not None and not met and c[k] == c[last]:
+                    own.append(last)
+                    picked.append(k)
+                    met = True
+            held = now.slice(last, 1) if last is not None and not met else None
+            take = lambda column, at: now.column(column).take(pa.array(at, pa.int64())).combine_chunks()  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([take("cid", own), take("text", picked), take("at", own)], names=["cid", "text", "at"])
+
+    dealt = rows.repartition("c").sortWithinPartitions("c", F.col("cid").isNull())
+    return dealt.mapInArrow(run, f"cid long, text string, at {kind}")
+
+
+def contexts_of(words: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """[anchor, word]: the words before each anchor (nearest first) and after it; 0 beyond the text."""
+    k = np.arange(reach)
+    before, after = at[:, None] - 1 - k, at[:, None] + gram + k
+    n = max(len(words), 1)
+    left = np.where(before >= first[:, None], words[np.clip(before, 0, n - 1)], np.uint64(0)) if len(words) else np.zeros(before.shape, np.uint64)
+    right = np.where(after < end[:, None], words[np.clip(after, 0, n - 1)], np.uint64(0)) if len(words) else np.zeros(after.shape, np.uint64)
+    return left, right
+
+
+_OCCURRENCE = "h long, cid long, p int, full boolean, lo int, ro int, left binary, right binary"
+
+
+def occurrences(candidates: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each block of cid, text, at (h, p, full): the words around it (nothing where all blocks of its anchor agree), how many there are."""
+    reach = window - gram
 
-    return joined.mapInArrow(run, joined.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                w = wh.words_of(data, offsets)
+                hashes = np.maximum(w.hashes, np.uint64(1))
+                at = batch.column(2).slice(a, b - a)
+                flat = at.flatten()
+                row = np.repeat(np.arange(b - a), at.value_lengths().to_numpy(zero_copy_only=False))
+                h, p, full = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                word = p.astype(np.int64) + w.first[row]
+                first, end = w.first[row], w.first[row + 1]
+                lo, ro = np.minimum(word - first, reach).astype(np.int32), np.minimum(end - word - gram, reach).astype(np.int32)
+                cid = batch.column(0).slice(a, b - a)
+                for x in range(0, len(h), 4096):
+                    part = slice(x, x + 4096)
+                    left, right = contexts_of(hashes, first[part], end[part], word[part], gram, reach)
+                    whole = full[part].astype(bool)
+                    sides = [pa.array([b"" if f else v.tobytes() for f, v in zip(whole, side.astype(">u8"), strict=True)], pa.binary()) for side in (left, right)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[part]), cid.take(pa.array(row[part])), pa.array(p[part]), pa.array(whole), pa.array(lo[part]), pa.array(ro[part]), *sides], names=names)
 
+    return candidates.select("cid", "text", "at").mapInArrow(run, _OCCURRENCE)
 
-def marked(batch: pa.RecordBatch, window: int, gram: int):
-    """For each slice of c, text, at...: first row, end row, parse, words of anchors that agree, of those that differ."""
-    for a, b, data, offsets in text_slices(batch.column(1)):
-        parsed = Parsed(data, offsets, window, gram)
-        at = batch.column(2).slice(a, b - a)
-        flat = at.flatten()
-        row = np.repeat(np.arange(b - a), at.value_lengths().to_numpy(zero_copy_only=False))
-        word = flat.field(0).to_numpy(zero_copy_only=False) + parsed.words.first[row]
-        full = flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
-        yield a, b, data, offsets, parsed, word[full], word[~full]
 
+_MATCH = "cid long, p int, h long, side int, full boolean, bound int, found array<struct<source: long, q: int, l: int, r: int>>"
 
-def full_windows(parsed: Parsed, full: np.ndarray) -> np.ndarray:
-    """Which windows hold an anchor whose blocks all agree."""
-    edge = np.zeros(len(parsed.valid) + 1, np.int32)
-    w = parsed.words
-    np.add.at(edge, np.maximum(full - (parsed.window - parsed.gram), w.first[w.doc[full]]), 1)
-    np.add.at(edge, full + 1, -1)
-    return (np.cumsum(edge)[:-1] > 0) & parsed.valid
 
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading words two rows of words share."""
+    return np.cumprod((x == y) & (x > 0), axis=1, dtype=np.int8).sum(1, dtype=np.int32)
 
-def boundary_windows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, v, c, start, copied): the windows whose anchor's blocks differ, not yet inside an agreeing block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "v", "c", "start", "copied"]
-        for batch in batches:
-            for a, _, _, _, parsed, full, mixed in marked(batch, window, gram):
-                # a window in an agreeing block is told twice only where it also has a differing anchor; those are looked up too
-                emit = np.zeros(len(parsed.valid), bool)
-                for back in range(window - gram + 1):
-                    start = mixed - back
-                    ok = (start >= 0) & parsed.valid[np.maximum(start, 0)]
-                    ok[ok] = parsed.low[start[ok]] == parsed.grams[mixed[ok]]
-                    emit[start[ok]] = True
-                at = np.flatnonzero(emit)
-                w = parsed.words
-                row = pa.array(a + w.doc[at])
-                yield pa.RecordBatch.from_arrays([pa.array(parsed.low[at].view(np.int64)), pa.array(parsed.window_hash(at).view(np.int64)), batch.column(0).take(row), pa.array((at - w.first[w.doc[at]]).astype(np.int32)), batch.column(3).take(row)], names=names)
+class Neighbours:
+    """Blocks in sorted order, each compared with a few before and after it. What is asked of a row is told once those after it came."""
+
+    names = [x.split()[0] for x in ("cid", "p", "h", "side", "full", "bound", "found")]
+
+    def __init__(self, window: int, gram: int):
+        self.window, self.gram, self.reach = window, gram, window - gram
 
-    return candidates.select("c", "text", "at", "copied").mapInArrow(run, "h long, v long, c binary, start int, copied boolean")
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # rows in memory; the first of them are told and only kept as neighbours
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, now]) if held is not None else now
+            upto = held.num_rows - NEIGHBOURS
+            if upto > done:
+                yield self.told(held, done, upto, first, False)
+                first = False
+                cut = max(0, upto - NEIGHBOURS)
+                held, done = held.slice(cut), upto - cut
+        if held is not None:
+            yield self.told(held, done, held.num_rows, first, True)
+
+    def words(self, column: pa.ChunkedArray) -> np.ndarray:
+        blank = bytes(8 * self.reach)
+        raw = b"".join(v or blank for v in column.to_pylist())
+        return np.frombuffer(raw, ">u8").reshape(len(column), self.reach).astype(np.uint64)
+
+    def told(self, rows: pa.Table, a: int, b: int, first: bool, last: bool) -> pa.RecordBatch:
+        n = rows.num_rows
+        h, side, cid, p, full, lo, ro = (rows.column(c).to_numpy() for c in ("h", "side", "cid", "p", "full", "lo", "ro"))
+        k1, k2 = self.words(rows.column("k1")), self.words(rows.column("k2"))
+        bound = np.zeros(n, np.int32)
+        best = np.full((3, n), -1, np.int64)  # of the longest match, the one farthest to the left, the one farthest to the right
+        value = np.full((3, n), -1, np.int64)
+        ls, rs = np.zeros((3, n), np.int32), np.zeros((3, n), np.int32)
+
+        def offer(i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            for k, score in enumerate(((left + right) * 64 + left, left * 64 + right, right * 64 + left)):
+                # of equal ones the smallest content, so that the anchors of a passage choose the same source
+                better = (score > value[k, i]) | ((score == value[k, i]) & (cid[j] < cid[best[k, i]]))
+                at = i[better]
+                value[k, at], best[k, at], ls[k, at], rs[k, at] = score[better], j[better], left[better], right[better]
+
+        for d in range(1, NEIGHBOURS + 1):
+            if d >= n:
+                break
+            i = np.flatnonzero((h[d:] == h[:-d]) & (side[d:] == side[:-d]))
+            j = i + d
+            x, y = agreeing(k1[i], k1[j]), agreeing(k2[i], k2[j])
+            whole = full[i].astype(bool)
+            left, right = np.where(side[i] == 0, y, x), np.where(side[i] == 0, x, y)
+            left, right = np.where(whole, lo[i], left), np.where(whole, ro[i], right)
+            if d == 1:
+                np.maximum.at(bound, i, x)
+                np.maximum.at(bound, j, x)
+            enough = left + self.gram + right >= self.window
+            for u, v in ((i, j), (j, i)):
+                offer(u[enough], v[enough], left[enough], right[enough])
+        # nothing is known of the neighbours in other partitions
+        own = np.where(side == 0, ro, lo)
+        if first:
+            bound[0] = own[0]
+        if last:
+            bound[n - 1] = own[n - 1]
+        pick = best[:, a:b].T
+        keep = pick >= 0
+        for k in (1, 2):
+            keep[:, k] &= (pick[:, k] != pick[:, 0]) & ((k < 2) | (pick[:, k] != pick[:, 1]))
+        chosen = pick[keep]
+        offsets = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(cid[chosen]), pa.array(p[chosen].astype(np.int32)), pa.array(ls[:, a:b].T[keep]), pa.array(rs[:, a:b].T[keep])], names=["source", "q", "l", "r"])
+        out = rows.slice(a, b - a).combine_chunks()
+        one = lambda c: out.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays([one("cid"), one("p"), one("h"), one("side"), one("full"), pa.array(bound[a:b]), pa.ListArray.from_arrays(pa.array(offsets), values)], names=self.names)
+
+
+def matches(blocks_: DataFrame, window: int, gram: int) -> DataFrame:
+    """For each block, by the words after it (side 0) and before it (side 1): its matches, and the farthest that any block agrees to that side."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("k1"), F.col("left").alias("k2")), F.struct(F.lit(1).alias("side"), F.col("left").alias("k1"), F.col("right").alias("k2")))
+    rows = blocks_.select("h", "cid", "p", "full", "lo", "ro", F.inline(sides)).where("side = 0 or not full")
+    order = ["h", "side", "k1", "k2", "cid", "p"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(Neighbours(window, gram).run, _MATCH)
+
+
+_PARSED = "cid long, factors array<struct<start: int, length: int, source: long, offset: int>>, spans array<struct<start: int, end: int>>, open array<struct<h: long, p: int, start: int>>"
+
+
+def greedy(intervals: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """Factors (start, length, source, offset) of matches (start, end, source, diagonal), the longest at each word."""
+    intervals.sort()
+    out, i, k, best = [], 0, 0, None
+    while True:
+        while k < len(intervals) and intervals[k][0] <= i:
+            if best is None or intervals[k][1] > best[1]:
+                best = intervals[k]
+            k += 1
+        if best is not None and best[1] - i >= window:
+            out.append((i, best[1] - i, best[2], i + best[3]))
+            i = best[1]
+        elif k < len(intervals):
+            i = intervals[k][0]
+        else:
+            return out
+
+
+def parsed(found: DataFrame, window: int, gram: int) -> DataFrame:
+    """factors, spans and windows still open of each content, of its matches."""
+    reach = window - gram
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, at in blocks.groups(batches, ["cid"]):
+            cid, p, side, bound, h, full = (part.column(c).to_numpy() for c in ("cid", "p", "side", "bound", "h", "full"))
+            lists_ = part.column("found").combine_chunks()
+            flat, per = lists_.flatten(), lists_.value_lengths().to_numpy(zero_copy_only=False)
+            source, q, left, right = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            row = np.repeat(np.arange(len(p)), per)
+            group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            mine = p[row].astype(np.int64)
+            start, end, diagonal, content = mine - left, mine + gram + right, q - mine, group[row]
+            # matches with one place on one diagonal that overlap are one match
+            order = np.lexsort((end, start, diagonal, source, content))
+            start, end, diagonal, source, content = (v[order] for v in (start, end, diagonal, source, content))
+            new = np.ones(len(start), bool)
+            if len(start):
+                same = (content[1:] == content[:-1]) & (source[1:] == source[:-1]) & (diagonal[1:] == diagonal[:-1])
+                run_of = np.concatenate([[0], np.cumsum(~same)])
+                span = int(end.max()) + 1
+                upto = np.maximum.accumulate(end + run_of * span) - run_of * span
+                new[1:] = ~same | (start[1:] > upto[:-1])
+            first = np.flatnonzero(new)
+            start, end, diagonal, source, content = start[first], np.maximum.reduceat(end, first) if len(first) else end[:0], diagonal[first], source[first], content[first]
+            edges = np.searchsorted(content, np.arange(len(at)))
+            factors, spans, open_ = [], [], []
+            for g in range(len(at) - 1):
+                own = slice(int(edges[g]), int(edges[g + 1]))
+                known = sorted(zip(start[own].tolist(), end[own].tolist(), source[own].tolist(), diagonal[own].tolist(), strict=True))
+                factors.append([dict(zip(("start", "length", "source", "offset"), f, strict=True)) for f in greedy(known, window)])
+                merged: list[list[int]] = []
+                for x, y, _, _ in known:
+                    if merged and x <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], y)
+                    else:
+                        merged.append([x, y])
+                spans.append([{"start": x, "end": y} for x, y in merged])
+                rows = range(int(at[g]), int(at[g + 1]))
+                limits: dict[int, list[int]] = {}
+                for k in rows:
+                    if not full[k]:
+                        limits.setdefault(int(p[k]), [int(h[k]), 0, 0])[1 + int(side[k])] = int(bound[k])
+                more = []
+                farthest = np.maximum.accumulate(ends_at(known, limits)) if limits else None
+                for place, (gram_hash, most_right, most_left) in limits.items():
+                    for s in range(place - most_left, place - (reach - most_right) + 1):
+                        if farthest[s] < s + window:
+                            more.append({"h": gram_hash, "p": place, "start": s})
+                open_.append(more)
+            shape = lambda *names: pa.list_(pa.struct([(n, pa.int64() if n in ("source", "h") else pa.int32()) for n in names]))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[at[:-1]]), pa.array(factors, shape("start", "length", "source", "offset")), pa.array(spans, shape("start", "end")), pa.array(open_, shape("h", "p", "start"))], names=["cid", "factors", "spans", "open"])
+
+    return found.repartition("cid").sortWithinPartitions("cid", "p", "side").mapInArrow(run, _PARSED)
+
+
+def ends_at(known: list[tuple[int, int, int, int]], limits: dict[int, list[int]]) -> np.ndarray:
+    """For each word up to the last anchor the farthest end of the matches that start there."""
+    ends = np.zeros(max(limits) + 2, np.int64)
+    for x, y, _, _ in known:
+        if x < len(ends):
+            ends[x] = max(ends[x], y)
+    return ends
+
+
+def windows_at(candidates: DataFrame, window: int, gram: int) -> DataFrame:
+    """(h, v, cid, start): all windows that hold the anchors of cid, text, places (h, p)."""
 
-def factored(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(c, n_removed, kept, spans) of c, text, at, starts, copied. spans: [first word, end word) of what goes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                w = wh.words_of(data, offsets)
+                at = batch.column(2).slice(a, b - a)
+                flat = at.flatten()
+                row = np.repeat(np.arange(b - a), at.value_lengths().to_numpy(zero_copy_only=False))
+                word = flat.field(1).to_numpy(zero_copy_only=False) + w.first[row]
+                back = np.arange(window - gram + 1)
+                start = (word[:, None] - back).ravel()
+                row, h = np.repeat(row, len(back)), np.repeat(flat.field(0).to_numpy(zero_copy_only=False), len(back))
+                ok = (start >= w.first[row]) & (start + window <= w.first[row + 1])
+                start, row, h = start[ok], row[ok], h[ok]
+                order = np.argsort(start, kind="stable")
+                start, row, h = start[order], row[order], h[order]
+                v = wh.spans_hash(w.hashes, start, start + window, _WINDOW).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32))], names=["h", "v", "cid", "start"])
+
+    return candidates.select("cid", "text", "places").mapInArrow(run, "h long, v long, cid long, start int")
+
+
+def removed(candidates: DataFrame, window: int) -> DataFrame:
+    """(cid, n_removed, kept, spans, factors) of cid, text, factors, spans, starts: spans are the words that go, [first, end)."""
+    schema = "cid long, n_removed long, kept string, spans array<struct<start: int, end: int>>, factors array<struct<start: int, length: int, source: long, offset: int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copied = batch.column(4).to_pylist()
-            for a, b, data, offsets, parsed, full, _ in marked(batch, window, gram):
-                w, raw = parsed.words, data.tobytes()
-                starts = batch.column(3).slice(a, b - a)
-                row = np.repeat(np.arange(b - a), starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                dup = full_windows(parsed, full)
-                dup[starts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + w.first[row]] = True
-                gone = wh.covered(np.flatnonzero(dup), window, len(w.doc))
-                removed, kept, spans = [], [], []
-                for k in range(b - a):
-                    mask = gone[w.first[k] : w.first[k + 1]]
-                    if copied[a + k] and len(mask) >= window:
-                        mask = np.ones(len(mask), bool)
-                    words = raw[offsets[k] : offsets[k + 1]].split()
-                    removed.append(int(mask.sum()))
-                    kept.append(kept_hash([words[i] for i in np.flatnonzero(~mask).tolist()]))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(removed, pa.int64()), pa.array(kept), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["c", "n_removed", "kept", "spans"])
-
-    return candidates.select("c", "text", "at", "starts", "copied").mapInArrow(run, "c binary, n_removed long, kept string, spans array<struct<start int, end int>>")
+            texts, spans, starts = batch.column(1), batch.column(3), batch.column(4)
+            counts, kept, gone = [], [], []
+            for k in range(batch.num_rows):
+                words = (texts[k].as_py() or "").encode().split()
+                mask = np.zeros(len(words) + 1, bool)
+                for s in spans[k].as_py() or []:
+                    mask[s["start"] : s["end"]] = True
+                for s in starts[k].as_py() or []:
+                    mask[s : s + window] = True
+                mask = mask[: len(words)]
+                counts.append(int(mask.sum()))
+                kept.append(kept_hash([words[i] for i in np.flatnonzero(~mask).tolist()]))
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+                gone.append([{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), batch.column(2)], names=["cid", "n_removed", "kept", "spans", "factors"])
+
+    return candidates.select("cid", "text", "factors", "spans", "starts").mapInArrow(run, schema)
+
+
+def looked_up(open_: DataFrame, at: DataFrame, texts: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
+    """(cid, starts): the open windows (cid, h, start) that occur elsewhere. at: cid, h, p of all anchors; texts: cid, text."""
+    wanted = scratch.table(open_.select("h").distinct(), "open-anchors")
+    places = at.join(wanted, "h", "left_semi").groupBy("cid").agg(F.collect_list(F.struct("h", "p")).alias("places"))
+    windows = scratch.table(windows_at(texts.join(places, "cid"), window, gram), "boundaries")
+    place = F.xxhash64("cid", "start")
+    equal = windows.groupBy("h", "v").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low <> high").select("h", "v", "n")
+    equal = scratch.table(equal, "equal-windows")
+    hits = spread_join(windows, equal, ["h", "v"], windows.count(), "left_semi")
+    return scratch.table(hits.groupBy("cid").agg(F.collect_set("start").alias("starts")), "starts")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256, spans (of removed words): a row for each row of docs."""
+    """id, n_words, n_removed, kept_sha256, spans (of removed words), content (number of the text), factors (start, length, source
+    content, offset there): a row for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("c"))
-    indexed = durable(index(keyed, id_col, window, gram), "reference")
-    anchors = indexed.select("c", F.inline("anchors"))
-    blocks = durable(anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 1").select("h", (F.col("low") == F.col("high")).alias("full")), "blocks")
-    at = anchors.join(blocks, "h").groupBy("c").agg(F.collect_set(F.struct("p", "full")).alias("at"), F.count("*").alias("n")).select("c", "at", (F.col("n") > F.size("at")).alias("copied"))
-    at = durable(at, "factors")
-    candidates = durable(without_repeats(keyed.select("c", "text").join(at, "c").select("c", "text", "at", "copied")), "factored-texts")
-
-    windows = durable(boundary_windows(candidates, window, gram), "boundaries")
-    place = F.xxhash64("c", "start")
-    equal = windows.groupBy("h", "v").agg(F.max("copied").alias("copied"), F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("copied or low <> high").select("h", "v", "n")
-    equal = durable(equal, "equal-windows")
-
-    starts = durable(spread_join(windows, equal, ["h", "v"], windows.count(), "left_semi").groupBy("c").agg(F.collect_set("start").alias("starts")), "starts")
-
-    found = durable(factored(candidates.join(starts, "c", "left").select("c", "text", "at", "starts", "copied"), window, gram).dropDuplicates(["c"]), "spans")
-
-    out = indexed.join(found, "c", "left")
-    return out.select(id_col, "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"), "spans")
+    with Scratch(docs.sparkSession) as scratch:
+        indexed = scratch.kept(index(keyed, id_col, window, gram), "reference")
+        contents = indexed.groupBy("c").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
+        contents = scratch.table(contents.withColumn("cid", F.monotonically_increasing_id()), "contents")
+        anchors = contents.select("cid", F.inline("anchors"))
+        shared = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 1")
+        shared = scratch.table(shared.select("h", "n", (F.col("low") == F.col("high")).alias("full")), "anchors")
+        at = scratch.table(spread_join(anchors.select("cid", "h", "p"), shared, ["h"], anchors.count()), "places")
+        lists_ = at.groupBy("cid").agg(F.collect_list(F.struct("h", "p", "full")).alias("at")).join(contents.select("cid", "c"), "cid")
+        # of a common content one text is chosen before any is shuffled
+        total = indexed.count()
+        common = F.broadcast(contents.where(F.col("n") > total // COMMON_SHARE).select("c"))
+        texts = keyed.select("c", "text")
+        texts = texts.join(common, "c", "left_anti").unionByName(texts.join(common, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")))
+        candidates = scratch.table(with_lists(texts, lists_), "candidates")
+        found = scratch.table(matches(scratch.table(occurrences(candidates, window, gram), "blocks"), window, gram), "matches")
+        told = scratch.table(parsed(found, window, gram), "parsed")
+        scratch.drop(found)
+        open_ = scratch.table(told.select("cid", F.inline("open")), "open")
+        starts = looked_up(open_, at, candidates.select("cid", "text"), window, gram, scratch)
+        single = contents.where("n = 1").select("cid")
+        touched = told.where(F.size("spans") > 0).select("cid", "factors", "spans").join(starts, "cid", "full_outer").join(single, "cid", "left_semi")
+        cut = removed(candidates.join(touched, "cid"), window)
+        copied = contents.where((F.col("n") > 1) & (F.col("n_words") >= window))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+        itself = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"), F.col("cid").alias("source"), F.lit(0).alias("offset")))
+        gone = copied.select("cid", F.col("n_words").alias("n_removed"), F.lit(kept_hash([])).alias("kept"), whole.alias("spans"), itself.alias("factors"))
+        found = scratch.kept(cut.unionByName(gone).join(contents.select("cid", "c", "n"), "cid"), "spans")
+        out = spread_join(indexed.drop("anchors"), found, ["c"], total, "left")
+    none = F.lit(0).cast("long")
+    return out.select(id_col, "n_words", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"), "spans", F.col("cid").alias("content"), "factors")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
