@@ -1,15 +1,16 @@
 """Quality classifier: random Fourier features, ridge regression, isotonic calibration.
 
 Random Fourier features approximate a Gaussian kernel over standardised document statistics. The
-normal equations are summed in each partition, then over groups of partitions, so the driver
-receives a fixed number of fixed-size sums. Ridge scores of the labelled rows, in a histogram
-of fixed size, fit an isotonic map to the probability of label 1.
+normal equations are summed in each partition, then sixteen sums meet in a task, and so on by rounds, so no task and
+not the driver receives more than sixteen sums of fixed size. A fifth of the teaching rows (by a hash of the id) takes no part in that:
+their ridge scores, in a histogram of fixed size, fit an isotonic map to the probability of label 1. Where either part
+is empty all teaching rows serve for both.
 
 Only rows whose ``crc32(id as text) mod 3`` is not 1 teach anything. Labels, language, source and id
 are never inputs of a score: equal texts have equal scores. A null text is an empty one, a null
 id counts as the empty text for crc32. An id with several labels counts with the lowest. Repeated
-rows each give a row. Without labels every score is 0.5 and predicted is 1. Columns
-besides id and text are not read.
+rows each give a row, ties have one score. Without labels every score is 0.5 and predicted is 1; an empty table gives an empty
+result. Very long texts are expanded a piece at a time. Columns besides id and text are not read, those named in also are passed on.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import Scratch, table, tree_sum
 from .textstats import STATS, matrix, with_stats
 
 FOURIER, RIDGE, SEED = 256, 1.0, 8
-#: Partial sums meet in this many groups before the driver adds them.
-SUM_GROUPS = 6
 SCORE_BINS = 2_000
+#: One in so many teaching rows calibrates.
+CALIBRATION = 5
 
 
 def inputs(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -63,7 +64,7 @@ class Model:
         return np.interp(self.raw(x), self.known, self.calibrated)
 
 
-def summed(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def summed(labelled: DataFrame, model: Model, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Z'Z and Z'y over all labelled rows."""
     size = FOURIER + 1
     cast = labelled.sparkSession.sparkContext.broadcast(model)
@@ -77,15 +78,8 @@ def summed(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
                 total += z.T @ np.column_stack([z, y])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
-        for batch in batches:
-            for one in batch.column(0):
-                total += np.frombuffer(one.as_py()).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
-
-    sums = labelled.select("quality", *STATS).mapInArrow(part, "sums binary").repartition(SUM_GROUPS).mapInArrow(merge, "sums binary")
-    total = sum((np.frombuffer(bytes(r[0])).reshape(size, size + 1) for r in sums.collect()), np.zeros((size, size + 1)))
+    total = tree_sum(labelled.select("quality", *STATS).mapInArrow(part, "sums binary"), np.float64, scratch)
+    total = np.zeros((size, size + 1)) if total is None else total.reshape(size, size + 1)
     return total[:, :size], total[:, size]
 
 
@@ -112,9 +106,12 @@ def with_scores(stats: DataFrame, model: Model, raw: bool = False) -> DataFrame:
     return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled: quality 0 or 1, and the statistics."""
+def fit(labelled: DataFrame, scratch: Scratch) -> Model:
+    """labelled: quality 0 or 1, the statistics, and calibrates, which rows calibrate."""
     blank = Model(np.zeros(N_INPUTS), np.ones(N_INPUTS), np.zeros(FOURIER + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
+    parts = {r["calibrates"]: r["count"] for r in labelled.groupBy("calibrates").count().collect()}
+    teaching = labelled if len(parts) < 2 else labelled.where("not calibrates")
+    calibrating = labelled if len(parts) < 2 else labelled.where("calibrates")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, a, b = 0, np.zeros(N_INPUTS), np.zeros(N_INPUTS)
@@ -124,18 +121,18 @@ def fit(labelled: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (n, *a, *b)], names=names)
 
     names = ["n", *(f"a{k}" for k in range(N_INPUTS)), *(f"b{k}" for k in range(N_INPUTS))]
-    row = labelled.select(*STATS).mapInArrow(moments, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
+    row = teaching.select(*STATS).mapInArrow(moments, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
     n = row["n"] or 0
     if not n:
         return blank
     mean = np.array([row[f"a{k}"] for k in range(N_INPUTS)]) / n
     std = np.sqrt(np.maximum(np.array([row[f"b{k}"] for k in range(N_INPUTS)]) / n - mean**2, 0))
     model = Model(mean, np.where(std > 1e-9, std, 1.0), blank.weights, blank.known, blank.calibrated)
-    zz, zy = summed(labelled, model)
+    zz, zy = summed(teaching, model, scratch)
     penalty = RIDGE * np.eye(len(zz))
     penalty[-1, -1] = 1e-9
     model.weights = np.linalg.solve(zz + penalty, zy)
-    at = with_scores(labelled.select("quality", *STATS), model, raw=True)
+    at = with_scores(calibrating.select("quality", *STATS), model, raw=True)
     bins = F.floor(F.least(F.greatest(F.col("score"), F.lit(-0.5)), F.lit(1.5)) * SCORE_BINS)
     known = sorted(at.groupBy(bins.alias("bin")).agg(F.avg("score").alias("mean"), F.avg("quality").alias("good"), F.count("*").alias("n")).collect(), key=lambda r: r["bin"])
     model.known = np.array([r["mean"] for r in known])
@@ -145,10 +142,13 @@ def fit(labelled: DataFrame) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """id, columns named in also, held_out, score, predicted and the statistics: a row for each row of docs. labels: id, quality."""
-    stats = durable(with_stats(docs, id_col, text_col, also), "classifier-stats")
-    held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
-    own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
-    model = fit(stats.where(~held_out).join(own, id_col))
+    with Scratch(docs.sparkSession) as scratch:
+        stats = scratch.kept(with_stats(docs, id_col, text_col, also), "classifier-stats")
+        held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+        own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
+        calibrates = F.pmod(F.xxhash64(id_col), F.lit(CALIBRATION)) == 0
+        labelled = scratch.table(stats.where(~held_out).join(own, id_col).select("quality", *STATS, calibrates.alias("calibrates")), "labelled")
+        model = fit(labelled, scratch)
     return with_scores(stats, model).withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
