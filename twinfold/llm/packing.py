@@ -6,9 +6,10 @@ patterns (how many rests of each class fill a sequence) and cuts (a rest of one
 of others): a master problem by the revised simplex method, columns priced by a knapsack dynamic program
 over its dual prices. Patterns are rounded down, what remains is packed first-fit decreasing by class.
 Documents are ranked within their class and ranks are dealt to patterns by ranges. All of the solver's
-data has a fixed size: classes, patterns, and counts by class and salt.
+data has a fixed size: classes and patterns; counts by class and salt are a row for each ROWS_PER_SALT rests.
 
-Ranks are counted by class and a salt of 64, so that one common length isn't ranked in one task. Token
+Whole sequences need no rank: each gets a number of its own where it is read. Rests are ranked by class and a salt; a class has
+as many salts as it has ROWS_PER_SALT rests, so that no task ranks more of one common length. Token
 ids never leave the task that makes them: for a cut, CRCs at multiples of 128 ids travel along, and
 the CRC of the rest follows from them by polynomial arithmetic.
 
@@ -32,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import Scratch, table
 
 LENGTH, END_ID = 2048, 1
 STEP = 8  # ids a class
 CLASSES = LENGTH // STEP
 CUT = 128  # ids; cuts lie at multiples
 CUT_COST = 0.002  # sequences
-SALTS = 64
+ROWS_PER_SALT = 1_000_000
 #: Characters on which both libraries cut and encode alike.
 _UNCOMMON = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]")
 #: Runs of blanks or of other characters from this length on go to tokenizers as well.
@@ -278,14 +279,17 @@ def whole_patterns(patterns: list[tuple[dict[int, int], float]], counts: np.ndar
     return out
 
 
-def salt_ranks(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with rank: a number from 0 within each class, counted by salt first."""
+def salt_ranks(df: DataFrame, counts: np.ndarray) -> DataFrame:
+    """df with rank: a number from 0 within each class, counted by salt first. counts[c - 1]: rows of class c."""
     from pyspark.sql import Window
 
-    counts = df.groupBy("class", "salt").agg(F.count("*").alias("n"))  # classes x salts rows at most
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("class", "salt").orderBy(*order)) - 1
-    return df.withColumn("within", within).join(F.broadcast(before), ["class", "salt"]).withColumn("rank", F.col("before") + F.col("within")).drop("before", "within")
+    salts = F.array(*(F.lit(int(n) // ROWS_PER_SALT + 1) for n in counts))
+    df = df.withColumn("salt", F.pmod(F.xxhash64("piece"), F.element_at(salts, F.col("class"))).cast("int"))
+    sizes = df.groupBy("class", "salt").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy("class", "salt").orderBy("piece")) - 1
+    ranked = df.withColumn("within", within).join(F.broadcast(before), ["class", "salt"])  # a row for each class and each ROWS_PER_SALT rows
+    return ranked.withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "salt")
 
 
 def cut_pieces(df: DataFrame, cuts: dict[int, list[tuple[int, int]]]) -> DataFrame:
@@ -326,11 +330,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     if tokenizer is None:
         tokenizer, ranks = tokenizer_paths()
-    with_class = lambda df: df.withColumn("class", F.ceil(F.col("length") / STEP).cast("int")).withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "doc_tokens"), F.lit(SALTS)).cast("int"))
-    order = [id_col, "start", "ids_crc32", "doc_tokens"]
-    # a rest of class CLASSES is as good as a full piece, which alone is longer than what a cut can make
-    made = durable(pieces(docs, id_col, text_col, tokenizer, ranks, LENGTH, end_id), "pieces")
-    made = with_class(made)
+    with_class = lambda df: df.withColumn("class", F.ceil(F.col("length") / STEP).cast("int"))
+    numbered = lambda df: df.withColumn("piece", F.monotonically_increasing_id())
+    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
 
     def histogram(df: DataFrame) -> np.ndarray:
         counts = np.zeros(CLASSES, np.int64)
@@ -338,13 +340,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             counts[row["class"] - 1] = row["count"]
         return counts
 
-    demand = histogram(made)
-    patterns, cuts = solve(np.append(demand[:-1], 0))
-    chosen = whole_cuts(cuts, demand)
-    if chosen:
-        made = with_class(durable(cut_pieces(salt_ranks(made, order), chosen), "cut-pieces"))
-        demand = histogram(made)
-        patterns, _ = solve(np.append(demand[:-1], 0), cuts=False)  # for the rests as they are now
+    with Scratch(docs.sparkSession) as scratch:
+        made = scratch.kept(numbered(pieces(docs, id_col, text_col, tokenizer, ranks, LENGTH, end_id)), "pieces")
+        full = made.where(F.col("length") == LENGTH)
+        # a rest of class CLASSES is as good as a full piece
+        rests = with_class(made.where(F.col("length") < LENGTH))
+        demand = histogram(rests)
+        patterns, cuts = solve(np.append(demand[:-1], 0))
+        chosen = whole_cuts(cuts, demand)
+        if chosen:
+            rests = with_class(scratch.kept(numbered(cut_pieces(salt_ranks(rests, demand), chosen).drop("piece")), "cut-pieces"))
+            demand = histogram(rests)
+            patterns, _ = solve(np.append(demand[:-1], 0), cuts=False)  # for the rests as they are now
     rows, at, used = [], 0, np.zeros(CLASSES, np.int64)
     for pattern, n in whole_patterns(patterns, demand):
         for c, k in pattern.items():
@@ -352,11 +359,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             used[c - 1] += n * k
         at += n
     plan = docs.sparkSession.createDataFrame(rows, "class int, first long, end long, times long, sequence long")  # patterns x classes: fixed
-    ranked = salt_ranks(made, order)
+    ranked = salt_ranks(rests, demand)
     placed = ranked.join(F.broadcast(plan), (ranked["class"] == plan["class"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["end"])).drop(plan["class"])
     placed = placed.withColumn("sequence_id", F.col("sequence") + F.floor((F.col("rank") - F.col("first")) / F.col("times")).cast("long"))
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank")) - F.col("length")
-    return placed.withColumn("offset", before).select(id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    placed = placed.withColumn("offset", before).select(*columns, "sequence_id", "offset")
+    alone = full.select(*columns, (F.lit(at) + F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
