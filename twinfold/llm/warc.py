@@ -2,9 +2,16 @@
 
 Reader: a task is given a byte range of a file. It looks for gzip magic, decodes the head of each
 candidate member and accepts it only if the decoded bytes begin a WARC record whose declared
-length and the member's own checksum hold and which another member or the file's end follows. It
+length and the member's own checksum hold; where no record before it tells that one begins here, another member or
+the file's end must follow it too (what a payload holds may look like a record). It
 owns the records that start inside its range and reads past its end to finish the last one, so any
-split of a file yields each record once.
+split of a file yields each record once. A place where a record should begin, the file's start or the end of
+another record, but no whole one does, is told as a row of type damaged with its file and place; reading
+goes on at the next record that is found.
+
+Records of all types are rows: header names count without regard to case, what a record doesn't state is taken from
+its block if that is whole (payload length and digest, which a revisit only states), else null; the payload is what follows
+the HTTP headers in a block of application/http, else the block.
 
 Writer: of the rows with equal payloads of at least ``min_revisit_bytes`` bytes that with the smallest
 page id is a response, the others are revisits without payload that name it and keep its length and
@@ -14,7 +21,7 @@ run again replaces its own file.
 
 A null payload is an empty one, a null URL is left out; rows with a null id are responses.
 Repeated rows with the smallest id of their payload are all responses. Empty tables write no
-record. Columns besides the three named are not read.
+record. Very long payloads are held a record at a time. Columns besides the three named are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, new_path, table
+from .common import Scratch, durable, new_path, table
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
@@ -83,7 +90,8 @@ def roles(pages: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataF
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes the archives; file, bytes and records of each, once written."""
-    revisits = durable(roles(pages, id_col, text_col, min_revisit_bytes), "revisits")
+    scratch = Scratch(pages.sparkSession)
+    revisits = scratch.table(roles(pages, id_col, text_col, min_revisit_bytes), "revisits")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("__tf_id"), F.col(url_col).cast("string").alias("__tf_url"), text.alias("__tf_text"))
     if not revisits.isEmpty():
@@ -109,7 +117,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         else:
             system.delete_file(own)
 
-    return durable(rows.select("__tf_id", "__tf_url", "__tf_text", "__tf_to").mapInArrow(run, "file string, bytes long, records long"), "warc-files")
+    with scratch:
+        return durable(rows.select("__tf_id", "__tf_url", "__tf_text", "__tf_to").mapInArrow(run, "file string, bytes long, records long"), "warc-files")
 
 
 class Members:
@@ -128,8 +137,8 @@ class Members:
             self.base = at
         return self.data[at - self.base : at - self.base + n]
 
-    def decode(self, at: int) -> tuple[bytes, int] | None:
-        """The record of the member at this place and the member's end, if it is one."""
+    def decode(self, at: int, known: bool) -> tuple[bytes, int] | None:
+        """The record of the member at this place and the member's end, if it is one; known: a record is due here."""
         unpack, out, n = zlib.decompressobj(31), [], 0
         place, checked = at, False
         try:
@@ -153,31 +162,67 @@ class Members:
         length = next((int(v) for k, _, v in (x.partition(b":") for x in body[:cut].split(b"\r\n")) if k.lower() == b"content-length" and v.strip().isdigit()), -1)
         if cut < 0 or len(body) != cut + 8 + length or not body.endswith(b"\r\n\r\n"):
             return None
-        return (body, end) if end >= self.size or self.byte_range(end, 3) == MAGIC else None
+        return (body, end) if known or end >= self.size or self.byte_range(end, 3) == MAGIC else None
 
-    def __iter__(self) -> Iterator[bytes]:
+    def __iter__(self) -> Iterator[tuple[bytes | None, int]]:
+        """(record, its place); None for a record at a place where one should begin but none is whole."""
+        expected = self.at == 0 and self.size > 0
         while self.at < self.end:
-            block = self.byte_range(self.at, min(BLOCK_BYTES, self.end - self.at + len(MAGIC) - 1))
-            found = block.find(MAGIC)
-            if found < 0:
-                self.at += max(len(block) - len(MAGIC) + 1, 1)
-                if len(block) < len(MAGIC):
-                    return
-                continue
-            if self.at + found >= self.end:
-                return
-            got = self.decode(self.at + found)
-            if got is None:
-                self.at += found + 1
+            if expected:
+                got = self.decode(self.at, True)
+                if got is None:
+                    yield None, self.at
+                    self.at, expected = self.at + 1, False
+                    continue
             else:
-                yield got[0]
-                self.at = got[1]
+                block = self.byte_range(self.at, min(BLOCK_BYTES, self.end - self.at + len(MAGIC) - 1))
+                found = block.find(MAGIC)
+                if found < 0:
+                    self.at += max(len(block) - len(MAGIC) + 1, 1)
+                    if len(block) < len(MAGIC):
+                        return
+                    continue
+                if self.at + found >= self.end:
+                    return
+                self.at += found
+                got = self.decode(self.at, False)
+                if got is None:
+                    self.at += 1
+                    continue
+            yield got[0], self.at
+            self.at, expected = got[1], True
+        # the task that finds a record's end tells whether one begins there, though another owns that one
+        if expected and self.at < self.size and self.decode(self.at, True) is None:
+            yield None, self.at
 
 
 def parse(body: bytes) -> tuple[dict[str, str], bytes]:
+    """The header fields by lower-case name, and the block."""
     head, _, block = body.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    return fields, block[:-4].partition(b"\r\n\r\n")[2]
+    fields = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields, block[:-4]
+
+
+def number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.isdigit() else None
+
+
+def row_of(body: bytes) -> tuple:
+    """A record as a row of the reader."""
+    fields, block = parse(body)
+    kind = fields.get("warc-type", "").lower() or None
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") else block
+    stated = fields.get("warc-payload-digest")
+    stated = stated.partition(":")[2] or stated if stated else None
+    if kind == "revisit":
+        size, own, payload = number(fields.get("warc-payload-length")), stated, None
+    else:
+        size, own = len(payload), digest(payload)
+    return page_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, page_of(fields.get("warc-refers-to")), size, own, payload, json.dumps(fields)
 
 
 def page_of(urn: str | None) -> int | None:
@@ -186,7 +231,8 @@ def page_of(urn: str | None) -> int | None:
 
 
 def read_warc(spark: SparkSession, folder: str, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null in revisits), headers as JSON. files: file, bytes."""
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null in revisits), headers as JSON by lower-case name.
+    Ids are those of records and references that the writer named (<urn:page:1>), else null. files: file, bytes."""
     n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
     splits = files.select("file", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes))).alias("start"))
     splits = splits.repartition(int(n))  # one split a task: the rows are tiny, what they name is not
@@ -199,11 +245,11 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame, split_bytes: i
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
                 with system.open_input_file(f"{base}/{name}") as source:
-                    for body in Members(source, start, min(start + split_bytes, size), size):
-                        fields, payload = parse(body)
-                        kind = fields["WARC-Type"]
-                        full = kind == "response"
-                        rows.append((page_of(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), kind, page_of(fields.get("WARC-Refers-To")), len(payload) if full else int(fields["WARC-Payload-Length"]), digest(payload) if full else fields["WARC-Payload-Digest"].removeprefix("sha1:"), payload if full else None, json.dumps(fields)))
+                    for body, place in Members(source, start, min(start + split_bytes, size), size):
+                        if body is None:
+                            rows.append((None, None, "damaged", None, None, None, None, json.dumps({"file": name, "offset": place})))
+                            continue
+                        rows.append(row_of(body))
                         held += len(body)
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
