@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import walk
 from .common import table
 
 SEED = 10
 #: Without stated weights a source weighs (its rows) ** TEMPERATURE.
 TEMPERATURE = 0.7
-#: The table of sources is broadcast up to this many; beyond, it is joined like any other.
-MAX_BROADCAST_SOURCES = 20_000
+#: The table of sources is broadcast up to so many numbers in all their distributions (8 bytes each) and names; beyond, it is joined like any other.
+MAX_BROADCAST_VALUES = 1_000_000
 _KEY, _CDF = "__tf_source", "__tf_cdf"
 
 
@@ -31,19 +32,18 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def last_count(rate: Column) -> Column:
+    """A count far beyond the mean."""
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
     """P(X <= k) for k = 0, 1, ... until far beyond the mean, from logarithms so that large means don't underflow."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    steps = F.aggregate(
-        F.sequence(F.lit(0), last),
-        F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all")),
-        lambda s, k: F.struct(
-            F.when(k == 0, -rate).otherwise(s["log"] + F.ln(rate) - F.ln(k.cast("double"))).alias("log"),
-            (s["sum"] + F.exp(F.when(k == 0, -rate).otherwise(s["log"] + F.ln(rate) - F.ln(k.cast("double"))))).alias("sum"),
-            F.concat(s["all"], F.array(s["sum"] + F.exp(F.when(k == 0, -rate).otherwise(s["log"] + F.ln(rate) - F.ln(k.cast("double")))))).alias("all"),
-        ),
-    )
-    return F.when(rate > 0, steps["all"])
+    log = lambda s, k: F.when(k == 0, -rate).otherwise(s["log"] + F.ln(rate) - F.ln(k.cast("double")))
+    total = lambda s, k: s["sum"] + F.exp(log(s, k))
+    zero = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+    steps = walk(F.sequence(F.lit(0), last_count(rate)), zero, lambda s, k: F.struct(log(s, k).alias("log"), total(s, k).alias("sum")), total, "array<double>")
+    return F.when(rate > 0, steps)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: float, source_col: str) -> DataFrame:
@@ -62,8 +62,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = SEED, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with copy_no and shuffle_key: each row as often as its Poisson count, in global random order."""
     docs = docs.drop("copy_no", "shuffle_key")
-    rates = source_rates(docs, weights, epochs, source_col).select(_KEY, poisson_cdf(F.col("rate")).alias(_CDF))
-    if rates.count() <= MAX_BROADCAST_SOURCES:
+    rates = source_rates(docs, weights, epochs, source_col)
+    values = rates.agg(F.sum(F.when(F.col("rate") > 0, last_count(F.col("rate"))).otherwise(0) + F.octet_length(_KEY))).first()[0] or 0
+    rates = rates.select(_KEY, poisson_cdf(F.col("rate")).alias(_CDF))
+    if values <= MAX_BROADCAST_VALUES:
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(F.lit(str(seed)), ident)
