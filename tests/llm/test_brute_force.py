@@ -11,14 +11,15 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinfold.llm import blocks, chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, queries, simhash, substring_dedup, wordhash
-from twinfold.llm.common import Scratch
-from twinfold.llm.textstats import text_stats
+from twinfold.llm import blocks, chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, quality_rules, queries, simhash, substring_dedup, wordhash
+from twinfold.llm.common import Scratch, tree_sum
+from twinfold.llm.textstats import STATS, text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -400,6 +401,76 @@ def test_op8_held_out(spark, sf, con):
     assert right >= 0.93 * len(held), (right, len(held))
 
 
+def test_op8_by_hand(spark):
+    """Moments, features, normal equations, ridge and calibration on few rows against plain arithmetic."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["Word", "x1", "long" * 5, "a,", "b.", "#$%"]) for _ in range(rng.randrange(1, 60))) + "\n" * (k % 4), k % 3 == 0 or rng.random() < 0.2) for k in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(q)) for i, _, q in rows if i % 7], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    raw = [t.encode() for _, t, _ in rows]
+    x = quality_classifier.inputs({k: v.astype(float) for k, v in text_stats(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).items()})
+    fold = {r.doc_id: r.h for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality_classifier.CALIBRATION)).alias("h")).collect()}
+    own = [i for i, _, _ in rows if i % 7 and zlib.crc32(str(i).encode()) % 3 != 1]
+    teach, calibrate = [i for i in own if fold[i]], [i for i in own if not fold[i]]
+    y = np.array([float(q) for _, _, q in rows])
+    mean, std = x[teach].mean(0), x[teach].std(0)
+    std[std <= 1e-9] = 1
+    r = np.random.default_rng(quality_classifier.SEED)
+    directions = r.normal(size=(x.shape[1], quality_classifier.FOURIER)) / np.sqrt(x.shape[1])
+    phase = r.uniform(0, 2 * np.pi, quality_classifier.FOURIER)
+    z = np.hstack([np.cos(np.clip((x - mean) / std, -8, 8) @ directions + phase) * np.sqrt(2 / quality_classifier.FOURIER), np.ones((len(x), 1))])
+    penalty = np.diag([quality_classifier.RIDGE] * quality_classifier.FOURIER + [1e-9])
+    score = z @ np.linalg.solve(sum(np.outer(z[i], z[i]) for i in teach) + penalty, sum(z[i] * y[i] for i in teach))
+    bins = {}
+    for i in calibrate:
+        bins.setdefault(np.floor(min(max(score[i], -0.5), 1.5) * quality_classifier.SCORE_BINS), []).append(i)
+    known = [np.mean(score[bins[b]]) for b in sorted(bins)]
+    good, weight = [np.mean(y[bins[b]]) for b in sorted(bins)], [len(bins[b]) for b in sorted(bins)]
+    # the nearest ascending values: the greatest, over starts, of the least mean to an end
+    mean_of = lambda a, b: np.average(good[a : b + 1], weights=weight[a : b + 1])
+    ascending = [max(min(mean_of(a, b) for b in range(k, len(good))) for a in range(k + 1)) for k in range(len(good))]
+    want = np.interp(score, known, ascending)
+    assert all(abs(got[i].score - want[i]) < 1e-6 and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+
+
+def test_sums_meet_by_rounds(spark):
+    with Scratch(spark) as scratch:
+        parts = spark.range(0, 700, 1, 300).select(F.col("id")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.array([sum(b.column(0).to_pylist()), 1], np.int64).tobytes()])], names=["x"]) for b in batches), "x binary")
+        total = tree_sum(parts, np.int64, scratch)
+    assert total[0] == 699 * 350 and total[1] == 300
+
+
+def test_op3_kept_by_walking_the_trees(spark, sf, texts, con):
+    """Path lengths step by step, thresholds from sorted scores."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    quality = dict(con.execute("SELECT doc_id, quality FROM labels").fetchall())
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    x = quality_rules.rates({s: np.array([float(rows[i][s]) for i in texts]) for s in STATS})
+    fit = sorted((i for i in texts if i in quality and not rows[i].base_failed))
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    at = {i: k for k, i in enumerate(texts)}
+    fitted = quality_rules.forests(x[[at[i] for i in sorted(fit, key=order.get)]])
+    rng = random.Random(3)
+    for i in rng.sample(sorted(texts), 25):
+        for k, (columns, forest) in enumerate(fitted):
+            own, lengths = x[at[i], columns], []
+            for t in range(len(forest.feature)):
+                node = 0
+                while forest.feature[t, node] >= 0:
+                    node = forest.child[t, node] + int(own[forest.feature[t, node]] >= forest.split[t, node])
+                lengths.append(forest.length[t, node])
+            assert abs(rows[i].anomaly[k] - 2 ** (-np.mean(lengths) / forest.norm)) < 1e-9
+    good = [rows[i].anomaly for i in fit if quality[i] == 1]
+    limits = []
+    for k in range(len(fitted)):
+        own = sorted(a[k] for a in good)
+        limits.append(next(b / quality_rules.SCORE_BINS for b in range(quality_rules.SCORE_BINS + 1) if sum(v >= b / quality_rules.SCORE_BINS for v in own) <= quality_rules.MAX_CLEAN_LOSS / len(fitted) * len(own)))
+    for i, r in rows.items():
+        assert r.kept == (not r.base_failed and all(a <= b for a, b in zip(r.anomaly, limits, strict=True))), i
+
+
 def test_isotonic():
     assert quality_classifier.isotonic(np.array([1.0, 3, 2, 4, 0]), np.ones(5)).tolist() == [1, 2.25, 2.25, 2.25, 2.25]
 

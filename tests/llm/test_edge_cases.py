@@ -1,5 +1,9 @@
 """Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables, and extra columns with clashing names."""
 
+import gzip
+import json
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +120,39 @@ def test_warc(spark):
     assert warc.read_warc(spark, folder, warc.write_warc(pages.limit(0), folder)).count() == 0
 
 
+def member(kind, headers, block, case=str):
+    fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", **headers, "Content-Length": len(block)}
+    head = "WARC/1.0\r\n" + "".join(f"{case(k)}:{' ' if case is str else ''}{v}\r\n" for k, v in fields.items()) + "\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", mtime=0)
+
+
+@pytest.mark.parametrize("split", [1, 40, 333, 1 << 20])
+def test_warc_of_others(spark, tmp_path, split):
+    """Records of every type, in any case, a revisit that states little, a damaged member, one cut off, a payload that is an archive itself."""
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    inner = member("resource", {}, b"in a payload") + member("resource", {}, b"too")
+    parts = [
+        member("warcinfo", {"Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        member("request", {"Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n", str.lower),
+        member("response", {"Content-Type": "application/http;msgtype=response", "WARC-Target-URI": "http://a/"}, http + b"body", str.lower),
+        member("revisit", {"WARC-Payload-Digest": "sha1:ABC", "WARC-Refers-To": "<urn:uuid:9>"}, http),
+        member("metadata", {}, b""),
+        member("resource", {}, random.Random(1).randbytes(300) + inner + random.Random(2).randbytes(300)),
+        b"\x1f\x8b\x08 not a member at all",
+        member("conversion", {}, "é".encode()),
+        member("response", {}, b"cut off" * 99)[:-9],
+    ]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(parts))
+    files = spark.createDataFrame([("other.warc.gz", path.stat().st_size)], "file string, bytes long")
+    out = warc.read_warc(spark, f"file://{tmp_path}", files, split).collect()
+    assert sorted((r.record_type, r.payload_bytes, r.url) for r in out if r.record_type != "damaged") == sorted([("warcinfo", 13, None), ("request", 0, None), ("response", 4, "http://a/"), ("revisit", None, None), ("metadata", 0, None), ("resource", 600 + len(inner), None), ("conversion", 2, None)], key=lambda r: (r[0], r[1] or 0))
+    (revisit,) = [r for r in out if r.record_type == "revisit"]
+    assert (revisit.payload_digest, revisit.payload, revisit.refers_to) == ("ABC", None, None)
+    at = [sum(map(len, parts[:k])) for k in (6, 8)]
+    assert sorted(json.loads(r.headers)["offset"] for r in out if r.record_type == "damaged") == at
+
+
 def test_nearest(spark):
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0]), (9, [-1.0, 0.0]), (10, [1.0, 2.0, 3.0])]
     table = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, rank int")

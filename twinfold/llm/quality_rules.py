@@ -8,7 +8,7 @@ share of ``max_clean_loss`` of the rows labelled good, so that clean documents s
 
 Nulls and empty texts: no words, so the base rule fails and kept is false. Ties: equal statistics
 have equal scores. Repeated rows each give a row. No labels: nothing is removed beyond the
-base rule. Empty tables give empty results. Columns besides id and text are not read.
+base rule. Empty tables give empty results. Very long texts are expanded a piece at a time. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, table
+from .common import Scratch, table
 from .textstats import STATS, matrix, with_stats
 
 TREES, ROWS_PER_TREE, SEED = 100, 256, 20
@@ -126,16 +126,16 @@ def thresholds(labelled: DataFrame, n: int, max_clean_loss: float = MAX_CLEAN_LO
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_clean_loss: float = MAX_CLEAN_LOSS) -> DataFrame:
     """id, all statistics, base_failed, anomaly, kept: a row for each row of docs. labels: id, quality 0 or 1."""
-    stats = durable(with_stats(docs, id_col, text_col), "rule-stats")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = stats.withColumn("base_failed", base)
-    own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
-    labelled = stats.where(~F.col("base_failed")).join(own, id_col)
-    share = min(1.0, 1.2 * FOREST_ROWS / max(1, labelled.count()))  # so that no task sends many more rows than are wanted
-    few = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = few.orderBy(F.xxhash64(id_col), *STATS).limit(FOREST_ROWS).select(*STATS).toPandas()
-    fitted = forests(rates({s: sample[s].to_numpy(float) for s in STATS}))
-    limits = thresholds(scored(labelled.select("quality", *STATS), fitted), len(fitted), max_clean_loss)
+    with Scratch(docs.sparkSession) as scratch:
+        stats = scratch.kept(with_stats(docs, id_col, text_col), "rule-stats").withColumn("base_failed", base)
+        own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
+        labelled = scratch.table(stats.where(~F.col("base_failed")).join(own, id_col), "labelled")
+        share = min(1.0, 1.2 * FOREST_ROWS / max(1, labelled.count()))  # so that no task sends many more rows than are wanted
+        few = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+        sample = few.orderBy(F.xxhash64(id_col), *STATS).limit(FOREST_ROWS).select(*STATS).toPandas()
+        fitted = forests(rates({s: sample[s].to_numpy(float) for s in STATS}))
+        limits = thresholds(scored(labelled.select("quality", *STATS), fitted), len(fitted), max_clean_loss)
     usual = F.forall(F.zip_with("anomaly", F.array(*map(F.lit, limits)), lambda score, limit: score <= limit), lambda x: x)
     return scored(stats, fitted).withColumn("kept", ~F.col("base_failed") & usual)
 
