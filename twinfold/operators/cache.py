@@ -1,11 +1,15 @@
-"""The hash cache: a Parquet table, looked up by a left join and rewritten by each run with what it used."""
+"""The hash cache: a Parquet table on any file system that Spark reaches, looked up by a left join and rewritten by each run with what it used."""
 
 from __future__ import annotations
 
 import os
-import shutil
+import threading
+import time
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,38 +34,75 @@ def rewritten(hashes: DataFrame) -> DataFrame:
     return hashes.select(F.lit(CACHE_VERSION).alias("key_version"), *CACHE_KEY, "hash").where(F.octet_length("hash") == 32).dropDuplicates(list(CACHE_KEY))
 
 
+#: Seconds that a second writer waits; a lock is renewed by its owner each BEAT seconds and counts as left behind after STALE.
+WAIT, BEAT, STALE = 1.0, 10.0, 60.0
+
+
+class Store:
+    """A place on a file system of Spark's; a plain path is one of the driver's, as the file system of the session's default may be another."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.uri = spark._jvm, path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
+        self.fs = self.at().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, suffix: str = ""):
+        return self.jvm.org.apache.hadoop.fs.Path(self.uri.rstrip("/") + suffix)
+
+    def exists(self, suffix: str = "") -> bool:
+        return self.fs.exists(self.at(suffix))
+
+
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at a local path; an absent or unreadable one is empty."""
-    if os.path.isdir(path):
+    """The cache; an absent or unreadable one is empty. All of its files are read once here, so that none fails a later job."""
+    store = Store(spark, path)
+    if store.exists():
+        cache = spark.read.schema(HASH_CACHE).parquet(store.uri)
         try:
-            return spark.read.schema(HASH_CACHE).parquet(path)
-        except Exception:
+            cache.agg(F.sum(F.octet_length("hash"))).first()
+            return cache
+        except (PySparkException, Py4JError):
             pass
     return spark.createDataFrame([], HASH_CACHE)
 
 
 @contextmanager
-def single_writer(path: str):
-    """Holds path.lock; a second writer fails at once."""
-    lock = path + ".lock"
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    try:
-        handle = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-    except FileExistsError:
-        raise RuntimeError(f"cache {path} is in use") from None
+def single_writer(spark: SparkSession, path: str, wait: float = WAIT, stale: float = STALE):
+    """Holds path.lock; a second writer fails after a short wait. The lock of a run that was killed is taken over once it is stale."""
+    store = Store(spark, path)
+    lock, until, done = store.at(".lock"), time.time() + wait, threading.Event()
+    store.fs.mkdirs(lock.getParent())
+    while not store.fs.createNewFile(lock):
+        try:
+            old = time.time() * 1000 - store.fs.getFileStatus(lock).getModificationTime() > stale * 1000
+        except Py4JError:  # it went meanwhile
+            continue
+        if old:
+            store.fs.delete(lock, False)
+        elif time.time() >= until:
+            raise RuntimeError(f"cache {path} is in use")
+        else:
+            time.sleep(min(0.1, wait))
+
+    def renew() -> None:
+        while not done.wait(BEAT):
+            store.fs.create(lock, True).close()  # a new modification time on any file system
+
+    beat = threading.Thread(target=renew, daemon=True)
+    beat.start()
     try:
         yield
     finally:
-        os.close(handle)
-        os.unlink(lock)
+        done.set()
+        beat.join()
+        store.fs.delete(lock, False)
 
 
 def commit(cache: DataFrame, path: str) -> None:
     """Writes path.new, then puts it in the old one's place."""
-    new, old = path + ".new", path + ".old"
-    cache.write.mode("overwrite").parquet("file://" + os.path.abspath(new))
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(new, path)
-    shutil.rmtree(old, ignore_errors=True)
+    store = Store(cache.sparkSession, path)
+    cache.write.mode("overwrite").parquet(store.uri.rstrip("/") + ".new")
+    store.fs.delete(store.at(".old"), True)
+    if store.exists():
+        store.fs.rename(store.at(), store.at(".old"))
+    store.fs.rename(store.at(".new"), store.at())
+    store.fs.delete(store.at(".old"), True)
