@@ -7,6 +7,7 @@ from twinfold.functions.globs import BadGlob, any_of, compile_glob, python_patte
 from twinfold.functions.paths import escape_path, relative_path
 from twinfold.functions.sizes import format_bytes, format_bytes_py, parse_size
 
+# Size strings and what they mean, and strings that mean none.
 SIZES = {"1k": 1000, "1K": 1000, "1kb": 1000, "1KB": 1000, "1M": 10**6, "1g": 10**9, "1T": 10**12, "1KiB": 1 << 10, "1MiB": 1 << 20, "1GiB": 1 << 30, "1TiB": 1 << 40, "1234": 1234, "1.5M": 1_500_000, "0.5K": 500, "0": 0, "0G": 0}
 
 
@@ -21,6 +22,7 @@ def test_bad_sizes(text):
         parse_size(text)
 
 
+# Patterns, names, and whether they match.
 GLOBS = [
     ("*.txt", "a.txt", True), ("*.txt", "a.txt\n", False), ("*.txt", ".txt", True), ("***", "anything", True), ("file?.txt", "file1.txt", True), ("file?.txt", "file.txt", False),
     ("[abc].txt", "b.txt", True), ("[^abc].txt", "b.txt", False), ("[!a]", "!", True), ("[a-c]x", "bx", True), ("{a,b}", "a", False), ("{a,b}", "{a,b}", True),

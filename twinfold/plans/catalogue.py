@@ -61,11 +61,12 @@ actions AS (SELECT m.group_id, s.source, m.path AS target, m.size, m.mtime_ns,
 ACTIONS = INO + MEMBERS + sources_sql(PRIORITY)
 
 
-def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
+def query(sql: str, base: bool | None = True) -> Callable[[Query], Query]:
+    """Registers a query with its SQL, which follows the listing's tables (base), other tables of its own (None) or stands alone."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = f"WITH {BASE}{sql}" if base else sql
+        SQL[f.__name__] = f"WITH {BASE}{sql}" if base else f"WITH {sql}" if base is None else sql
         return f
 
     return add
@@ -211,12 +212,22 @@ def verify_staged(spark, sf):
     return found.groupBy("group_id", "size").agg(F.count("*").alias("n_inodes"), F.min("rep_path").alias("first_path")).drop("group_id")
 
 
-@query(INO + f""", x AS (SELECT *, sha256(encode(rep_text)[1:{PROBE}]) AS h FROM candidates WHERE size <= {PROBE}),
-a AS (SELECT *, count(*) OVER (PARTITION BY size, h) AS n FROM x)
-SELECT 0 AS stage, CAST(coalesce(sum(size), 0) AS BIGINT) AS verified, CAST(0 AS BIGINT) AS cached, CAST(0 AS BIGINT) AS skipped, count(*) FILTER (WHERE n < 2) AS eliminated FROM a""")
+def _stages_sql(p: int, c: int) -> str:
+    """Each inode drops out at the first stage at which no other shares all bytes known; a round reads all its stages of those that it begins with."""
+    return f""", e AS (SELECT size, ino, encode(rep_text) AS b, CAST(CASE WHEN size <= {p} THEN 1 WHEN size <= 2 * {p} THEN 2 ELSE 2 + (size - 2 * {p} + {c} - 1) // {c} END AS BIGINT) AS n_stages FROM candidates),
+k AS (SELECT *, unnest(range(0, n_stages)) AS stage FROM e),
+r AS (SELECT size, ino, stage, n_stages, CASE WHEN stage < 3 THEN stage ELSE 1 + CAST(pow(2, floor(log2(stage - 1))) AS BIGINT) END AS first,
+  CASE stage WHEN 0 THEN least({p}, size) WHEN 1 THEN least({p}, size - {p}) ELSE least({c}, size - 2 * {p} - (stage - 2) * {c}) END AS len,
+  sha256(b[1:{p}]) || CASE WHEN stage > 0 THEN sha256(b[greatest({p}, size - {p}) + 1:size]) ELSE '' END || CASE WHEN stage > 1 THEN sha256(b[{p} + 1:{p} + least((stage - 1) * {c}, size - 2 * {p})]) ELSE '' END AS known FROM k),
+g AS (SELECT *, count(*) OVER (PARTITION BY size, stage, known) AS n FROM r),
+a AS (SELECT *, min(stage) FILTER (WHERE n < 2) OVER (PARTITION BY size, ino) AS alone_at, CASE WHEN first < 3 THEN first + 1 ELSE 2 * first - 1 END AS last FROM g),
+t AS (SELECT *, coalesce(alone_at >= first, true) AS open, size - CASE WHEN last >= n_stages THEN size WHEN last = 1 THEN {p} ELSE 2 * {p} + (last - 2) * {c} END AS unread FROM a)
+SELECT CAST(stage AS INTEGER) AS stage, CAST(sum(len) FILTER (WHERE open) AS BIGINT) AS verified, CAST(0 AS BIGINT) AS cached, CAST(coalesce(sum(unread) FILTER (WHERE stage = alone_at), 0) AS BIGINT) AS skipped, count(*) FILTER (WHERE stage = alone_at) AS eliminated FROM t GROUP BY stage HAVING count(*) FILTER (WHERE open) > 0"""
+
+
+@query(INO + _stages_sql(SMALL_PROBE, SMALL_CHUNK))
 def verify_stats(spark, sf):
-    """One stage: every document is shorter than the probe."""
-    return _staged(spark, sf, PROBE, CHUNK).stats
+    return _staged(spark, sf, SMALL_PROBE, SMALL_CHUNK).stats
 
 
 @query(INO + ", g AS (SELECT group_id, size, count(*) AS n FROM confirmed GROUP BY ALL) SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_inodes, CAST(coalesce(sum((n - 1) * size), 0) AS BIGINT) AS bytes, count(*) AS n_sets FROM g")
@@ -292,7 +303,7 @@ def cache_misses(spark, sf):
 @query(INO + f" SELECT rep_path AS path, size AS file_size, ino, rep_mtime_ns AS mtime_ns, CAST(0 AS BIGINT) AS start, CAST(least(size, {SMALL_PROBE}) AS BIGINT) AS len, {HEAD} AS hash FROM candidates")
 def cache_rewrite(spark, sf):
     asked = cache.lookup(_requests(spark, sf), _old_cache(spark, sf))
-    done = verify.table_hasher(contents(spark, sf), SMALL_PROBE, SMALL_CHUNK)(asked, 0)
+    done = verify.table_hasher(contents(spark, sf), SMALL_PROBE, SMALL_CHUNK)(asked.withColumn("stage", F.lit(0).cast("long")), 0)
     used = done.select(F.col("rep_path").alias("path"), F.col("size").alias("file_size"), "ino", F.col("rep_mtime_ns").alias("mtime_ns"), "start", "len", F.unhex(F.coalesce("cached_hash", "hash")).alias("hash"))
     return cache.rewritten(used).select("path", "file_size", "ino", "mtime_ns", "start", "len", F.lower(F.hex("hash")).alias("hash"))
 
@@ -348,33 +359,61 @@ def relative_symlink(spark, sf):
     return actions(spark, sf).select("source", "target", relative_path(F.col("source"), F.col("target")).alias("link"))
 
 
-@query()
-def files_source(spark, sf):
-    """Lists the input's own files, where the input lies on a mounted file system; else nothing."""
-    import os
+TREE = """, d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
+tree AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.bak' ELSE '.txt' END AS path, CAST(strlen(text) AS BIGINT) AS size, text FROM d)"""
 
+
+def written_tree(spark: SparkSession, sf: str) -> str | None:
+    """All documents as files under the shared folder, each written by the task that reads it; None where that folder isn't mounted."""
+    import os
+    import uuid
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    root = verify.shared_folder(spark)
+    if not root.startswith("file:"):
+        return None
+    root = f"{root.removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    kind = F.when(F.col("doc_id") % 10 == 0, ".bak").otherwise(".txt")
+    named = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{root}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                own = f"{at}.{uuid.uuid4().hex}"
+                with open(own, "wb") as file:
+                    file.write(content)
+                os.replace(own, at)  # a task that is run again puts the same file there
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    named.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    return root
+
+
+@query(TREE.replace(", d AS", "d AS", 1) + " SELECT path, size, CAST(1 AS BIGINT) AS nlink FROM tree WHERE NOT ends_with(path, '.bak')", base=None)
+def files_source(spark, sf):
+    """Lists a tree of files that holds all documents."""
     from ..sources.files import scan
 
-    path = sf.removeprefix("file:")
-    return scan(spark, [path] if os.path.isdir(path) else [], 1, ("*.crc",)).where("error is null").select("path", "size", "nlink")
+    root = written_tree(spark, sf)
+    rows = scan(spark, [root] if root else [], 0, ("*.bak",)).where("error is null")
+    return rows.select(F.substring("path", len(root or "") + 2, 1 << 20).alias("path"), "size", "nlink")
 
 
-@query()
+@query(TREE.replace(", d AS", "d AS", 1) + " SELECT min(path) OVER (PARTITION BY size, text) AS source, path AS target, 'hardlink' AS action, size AS bytes_saved FROM tree WHERE size > 0 QUALIFY path > min(path) OVER (PARTITION BY size, text)", base=None)
 def apply_links(spark, sf):
-    """Replaces copies in a small tree of the driver's and lists what is left of it."""
-    import os
-    import tempfile
-
+    """The whole engine on a tree of files that holds all documents: copies become links, of which the report is returned."""
     from ..model import DedupeOptions
     from .engine import Engine
 
-    root = tempfile.mkdtemp(prefix="twinfold-")
-    for name, text in (("a/one.txt", "same"), ("b/two.txt", "same"), ("b/three.txt", "else"), ("c.txt", "same")):
-        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
-        with open(f"{root}/{name}", "w") as file:
-            file.write(text)
-    run = Engine(spark, DedupeOptions(dry_run=False)).run([root], act=True)
-    return spark.createDataFrame([(r.source.removeprefix(root), r.target.removeprefix(root), r.action, r.bytes_saved) for r in run.results], "source string, target string, action string, bytes_saved long")
+    root = written_tree(spark, sf)
+    done: list[tuple] = []
+    if root:
+        Engine(spark, DedupeOptions(dry_run=False)).run([root], act=True, on_result=lambda r: done.append((r.source[len(root) + 1 :], r.target[len(root) + 1 :], r.action, r.bytes_saved)))
+    return spark.createDataFrame(done, "source string, target string, action string, bytes_saved long")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

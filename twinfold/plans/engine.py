@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,6 @@ class Run:
     actions: DataFrame | None
     errors: DataFrame
     summaries: list[str] = field(default_factory=list)
-    results: list[Result] = field(default_factory=list)
 
 
 class Engine:
@@ -31,12 +31,12 @@ class Engine:
         self.min_size = parse_size(options.min_size)
         validate_globs(options.excludes)
 
-    def run(self, paths: list[str], act: bool = False) -> Run:
-        """Plans for the trees at paths; with act, walks the plan (changing nothing if dry_run)."""
+    def run(self, paths: list[str], act: bool = False, on_result: Callable[[Result], None] | None = None) -> Run:
+        """Plans for the trees at paths; with act, walks the plan (changing nothing if dry_run) and tells each result as it comes."""
         from ..sources.files import scan
 
         options, began = self.options, time.time()
-        rows = verify.kept(scan(self.spark, paths, 0, options.excludes))
+        rows = scan(self.spark, paths, 0, options.excludes)
         errors = rows.where("error is not null").select(F.lit("scan").alias("stage"), "path", F.col("error").alias("message"))
         rows = rows.where("error is null").drop("error")
         out = Run(None, self.spark.createDataFrame([], ERRORS).unionByName(errors))
@@ -53,25 +53,27 @@ class Engine:
             return out
         began, total = time.time(), s["bytes"]
         if options.cache_file:
-            with caches.single_writer(options.cache_file):
+            with caches.single_writer(self.spark, options.cache_file):
                 done = verify.staged(chosen, verify.file_hasher, caches.open_cache(self.spark, options.cache_file), options.probe, options.chunk)
                 caches.commit(caches.rewritten(done.hashes), options.cache_file)
         else:
             done = verify.staged(chosen, verify.file_hasher, None, options.probe, options.chunk)
         out.errors = out.errors.unionByName(done.errors)
-        v = done.stats.agg(*(F.sum(c).alias(c) for c in ("verified", "cached", "skipped"))).first()
+        share = verify.percent(F.sum("skipped"), F.lit(total)).alias("share")
+        v = done.stats.agg(*(F.sum(c).alias(c) for c in ("verified", "cached", "skipped")), share).first()
         c = verify.confirmed_stats(done.confirmed).first()
         known = f" ({format_bytes_py(v['cached'])} cached)" if v["cached"] else ""
-        share = 100 * v["skipped"] / total if total else 0.0
-        out.summaries.append(f"Verified {format_bytes_py(v['verified'])}{known}, skipped {format_bytes_py(v['skipped'])} ({share:.0f}%), confirmed {c['n_inodes']} duplicates ({format_bytes_py(c['bytes'])}) in {c['n_sets']} sets in {time.time() - began:.1f}s")
+        out.summaries.append(f"Verified {format_bytes_py(v['verified'])}{known}, skipped {format_bytes_py(v['skipped'])} ({v['share']:.0f}%), confirmed {c['n_inodes']} duplicates ({format_bytes_py(c['bytes'])}) in {c['n_sets']} sets in {time.time() - began:.1f}s")
         began = time.time()
         found = screen.members(rows, done.confirmed, options.trust_device_boundaries)
         out.actions = verify.kept(plan.plan(found, options.path_priority or tuple(paths), options.symlink_fallback))
         if act:
+            ok = n = saved = 0
             for result in apply(out.actions, options.dry_run, options.symlink_fallback):
-                out.results.append(result)
-            ok = [r for r in out.results if r.err is None]
-            out.summaries.append(f"Processed {len(ok)}/{len(out.results)} files in {c['n_sets']} sets, saved {format_bytes_py(sum(r.bytes_saved for r in ok))} in {time.time() - began:.1f}s")
+                n, ok, saved = n + 1, ok + (result.err is None), saved + (result.bytes_saved if result.err is None else 0)
+                if on_result is not None:
+                    on_result(result)
+            out.summaries.append(f"Processed {ok}/{n} files in {c['n_sets']} sets, saved {format_bytes_py(saved)} in {time.time() - began:.1f}s")
         return out
 
 
@@ -94,17 +96,18 @@ def main(argv: list[str] | None = None) -> int:
     options = DedupeOptions(args.min_size, tuple(g for e in args.exclude for g in e.split(",") if g), args.dry_run, args.verbose, args.symlink_fallback, args.trust_device_boundaries, args.cache_file, tuple(args.paths))
     builder = SparkSession.builder.config("spark.ui.showConsoleProgress", str(not args.no_progress).lower()).config("spark.sql.python.filterPushdown.enabled", "true")
     spark = (builder.master(f"local[{args.workers}]") if args.workers else builder).getOrCreate()
+    clean = lambda p: p.replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r")
+
+    def tell(r: Result) -> None:
+        print(f"skipped {clean(r.target)}: {r.err}" if r.err else f"Replaced {clean(r.target)} with {r.action} to {clean(r.source)}")
+
     try:
-        run = Engine(spark, options).run(args.paths, act=True)
+        run = Engine(spark, options).run(args.paths, True, tell if args.verbose else None)
     except (ValueError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 1
     for row in run.errors.toLocalIterator():
         print(f"{row['stage']}: {row['path']}: {row['message']}", file=sys.stderr)
-    if args.verbose:
-        clean = lambda p: p.replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r")
-        for r in run.results:
-            print(f"skipped {clean(r.target)}: {r.err}" if r.err else f"Replaced {clean(r.target)} with {r.action} to {clean(r.source)}")
     for line in run.summaries:
         print(line, file=sys.stderr)
     return 0
