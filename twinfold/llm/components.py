@@ -23,18 +23,20 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
 
+def all_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one smaller end, which is no edge's larger end: then the smaller ends are the roots."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the edges a, b; root is the smallest node reachable. Nothing is collected
-    but counts and a checksum per round; rounds grow as the logarithm of the longest path. A node with a large
+    but counts; rounds, one table each, grow as the logarithm of the longest path. A node with a large
     share of all edges keeps them where they are: its smallest neighbour is broadcast."""
     edges = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    total, seen = edges.count(), None
-    while total:
-        tied = scratch.table(large_star(edges, total), "tied")
-        last, edges = edges, scratch.table(small_star(tied, tied.count()), "edges")
-        scratch.drop(tied, last)
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == seen or now[0] == 0:
-            break
-        seen, total = now, now[0]
+    while not all_stars(edges):
+        last, total = edges, edges.count()
+        edges = scratch.table(small_star(large_star(last, total), total), "edges")
+        scratch.drop(last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
