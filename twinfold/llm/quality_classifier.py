@@ -10,7 +10,7 @@ Only rows whose ``crc32(id as text) mod 3`` is not 1 teach anything. Labels, lan
 are never inputs of a score: equal texts have equal scores. A null text is an empty one, a null
 id counts as the empty text for crc32. An id with several labels counts with the lowest. Repeated
 rows each give a row, ties have one score. Without labels every score is 0.5 and predicted is 1; an empty table gives an empty
-result. Very long texts are expanded a piece at a time. Columns besides id and text are not read, those named in also are passed on.
+result. Very long texts are expanded a piece at a time. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table, tree_sum
-from .textstats import STATS, matrix, with_stats
+from .common import Scratch, packed, table, text_slices, tree_sum
+from .textstats import STATS, matrix, text_stats, with_stats
 
 FOURIER, RIDGE, SEED = 256, 1.0, 8
 SCORE_BINS = 2_000
@@ -76,7 +76,7 @@ def summed(labelled: DataFrame, model: Model, scratch: Scratch) -> tuple[np.ndar
                 z = cast.value.features(inputs(matrix(batch)))
                 y = batch.column(batch.schema.get_field_index("quality")).to_numpy(zero_copy_only=False).astype(float)
                 total += z.T @ np.column_stack([z, y])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], names=["sums"])
 
     total = tree_sum(labelled.select("quality", *STATS).mapInArrow(part, "sums binary"), np.float64, scratch)
     total = np.zeros((size, size + 1)) if total is None else total.reshape(size, size + 1)
@@ -140,16 +140,39 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """id, columns named in also, held_out, score, predicted and the statistics: a row for each row of docs. labels: id, quality."""
+def is_held_out(id_col: str):
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+
+
+def learned(stats: DataFrame, labels: DataFrame, id_col: str, scratch: Scratch) -> Model:
+    """The model of rows (id, statistics) that have a label and aren't held out. labels: id, quality."""
+    own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
+    calibrates = F.pmod(F.xxhash64(id_col), F.lit(CALIBRATION)) == 0
+    labelled = scratch.table(stats.where(~is_held_out(id_col)).join(own, id_col).select("quality", *STATS, calibrates.alias("calibrates")), "labelled")
+    return fit(labelled, scratch)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted and the statistics: a row for each row of docs. labels: id, quality."""
     with Scratch(docs.sparkSession) as scratch:
-        stats = scratch.kept(with_stats(docs, id_col, text_col, also), "classifier-stats")
-        held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
-        own = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality"))
-        calibrates = F.pmod(F.xxhash64(id_col), F.lit(CALIBRATION)) == 0
-        labelled = scratch.table(stats.where(~held_out).join(own, id_col).select("quality", *STATS, calibrates.alias("calibrates")), "labelled")
-        model = fit(labelled, scratch)
-    return with_scores(stats, model).withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        stats = scratch.kept(with_stats(docs, id_col, text_col), "classifier-stats")
+        model = learned(stats, labels, id_col, scratch)
+    return with_scores(stats, model).withColumn("held_out", is_held_out(id_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are predicted to have label 1, each by its own text: scored where they are read, so no text is shuffled."""
+    with Scratch(docs.sparkSession) as scratch:
+        model = learned(scratch.table(with_stats(docs, id_col, text_col), "classifier-stats"), labels, id_col, scratch)
+    cast, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(at)):
+                score = cast.value.score(inputs({k: v.astype(float) for k, v in text_stats(data, offsets).items()}))
+                yield batch.slice(a, b - a).filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

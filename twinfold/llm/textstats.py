@@ -55,18 +55,17 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """(id, columns named in also, statistics as long) of each row; a null text is an empty one. Rows are neither dropped nor merged."""
-    own = [id_col, *also]
-    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField(s, T.LongType()) for s in STATS])
+def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, statistics as long) of each row; a null text is an empty one. Rows are neither dropped nor merged."""
+    schema = T.StructType([docs.schema[id_col]] + [T.StructField(s, T.LongType()) for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(len(own))):
+            for a, b, data, offsets in text_slices(batch.column(1)):
                 stats = text_stats(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(own))), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=[*own, *STATS])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=[id_col, *STATS])
 
-    return docs.select(*own, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def matrix(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
