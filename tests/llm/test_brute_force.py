@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from twinfold.llm import blocks, chat_format, components, mixing, nn_descent, packing, pii, quality_classifier, quality_rules, queries, simhash, substring_dedup, wordhash
-from twinfold.llm.common import Scratch, tree_sum
+from twinfold.llm.common import Scratch, packed, tree_sum
 from twinfold.llm.textstats import STATS, text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -436,7 +436,7 @@ def test_op8_by_hand(spark):
 
 def test_sums_meet_by_rounds(spark):
     with Scratch(spark) as scratch:
-        parts = spark.range(0, 700, 1, 300).select(F.col("id")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.array([sum(b.column(0).to_pylist()), 1], np.int64).tobytes()])], names=["x"]) for b in batches), "x binary")
+        parts = spark.range(0, 700, 1, 300).select(F.col("id")).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([packed(np.array([sum(b.column(0).to_pylist()), 1], np.int64))])], names=["x"]) for b in batches), "x binary")
         total = tree_sum(parts, np.int64, scratch)
     assert total[0] == 699 * 350 and total[1] == 300
 

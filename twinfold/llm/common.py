@@ -6,6 +6,7 @@ import contextlib
 import math
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,17 +116,21 @@ def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, ho
 BROADCAST_IDS = 200_000
 
 
-def chosen(rows: DataFrame, ids: DataFrame, on: str, n: int) -> DataFrame:
-    """The rows whose id is among n distinct ids."""
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_semi")
+def chosen(rows: DataFrame, ids: DataFrame, on: str, n: int, but: bool = False) -> DataFrame:
+    """The rows whose id is (or, with but, isn't) among n distinct ids."""
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, on, "left_anti" if but else "left_semi")
 
 
 #: Partial sums that meet in one task.
 SUM_FAN = 16
 
 
+def packed(array: np.ndarray) -> bytes:
+    return zlib.compress(array.tobytes(), 1)
+
+
 def tree_sum(parts: DataFrame, dtype, scratch: Scratch) -> np.ndarray | None:
-    """The sum of arrays of one size, each the bytes of a row of the only column of parts. Sixteen meet in a task, and
+    """The sum of arrays of one size, each packed in a row of the only column of parts. Sixteen meet in a task, and
     so on by rounds, so that no task and not the driver reads more than sixteen at once."""
     name = parts.columns[0]
 
@@ -133,10 +138,10 @@ def tree_sum(parts: DataFrame, dtype, scratch: Scratch) -> np.ndarray | None:
         total = None
         for batch in batches:
             for one in batch.column(0):
-                part = np.frombuffer(one.as_py(), dtype)
+                part = np.frombuffer(zlib.decompress(one.as_py()), dtype)
                 total = part.copy() if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=[name])
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], names=[name])
 
     parts = scratch.table(parts, "partial-sums")
     n = parts.count()
@@ -144,8 +149,11 @@ def tree_sum(parts: DataFrame, dtype, scratch: Scratch) -> np.ndarray | None:
         groups = math.ceil(n / SUM_FAN)
         parts = scratch.table(parts.repartition(groups).mapInArrow(merge, f"{name} binary"), "partial-sums")
         n = min(groups, parts.count())
-    rows = [np.frombuffer(bytes(r[0]), dtype) for r in parts.collect()]
-    return np.sum(rows, axis=0, dtype=dtype) if rows else None
+    total = None
+    for row in parts.collect():
+        part = np.frombuffer(zlib.decompress(bytes(row[0])), dtype)
+        total = part.copy() if total is None else total + part
+    return total
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from . import blocks, simhash
 from . import wordhash as wh
-from .common import Scratch, chosen, spread_join, text_slices, tree_sum
+from .common import Scratch, chosen, durable, packed, spread_join, text_slices, tree_sum
 from .components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Shingles are counted in so many buckets (2 ** SKETCH_BITS counts of 32 bits each).
-SKETCH_BITS = 18
+SKETCH_BITS = 21
 #: Groups from this size on meet at pivots first.
-PIVOT_GROUP, PIVOTS, PIVOT_ROUNDS = 64, 2, 2
+PIVOT_GROUP, PIVOTS, PIVOT_ROUNDS = 64, 8, 2
 #: Pairs between two classes that the first round checks; each round checks so many times more.
 FIRST_PAIRS, MORE_PAIRS = 2, 16
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -87,10 +87,10 @@ def described(texts: DataFrame, shingle: int) -> DataFrame:
                 if len(doc):
                     sums[doc[first], 0] = np.add.reduceat(wh.mix(h), first)
                     sums[doc[first], 1] = np.add.reduceat(wh.mix(h ^ _SECOND), first)
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
+                np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 f = fingerprints(doc, h, b - a).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sums]), pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)), pa.array(f), pa.nulls(b - a, pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(counts)])], names=names)
 
     return texts.mapInArrow(run, "id long, sig binary, n long, f long, counts binary")
 
@@ -234,9 +234,14 @@ def by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 ROW = "__tf_row"
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, written to the shared folder so that it stays the same."""
-    return docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id())
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with a whole number of its own for each row: the id where all ids are there and differ, else one that is
+    written with the rows to the shared folder, so that it stays the same."""
+    docs = docs.drop(ROW)
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+    return durable(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,8 +255,9 @@ def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", sh
         nodes = scratch.table(own.groupBy("sig").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("f").alias("f"), F.max("n").alias("size")), "nodes")
         filled = nodes.where("size > 0")
         links = verified(by_fingerprint(filled.select("node", "f"), scratch), texts, shingle, similarity, scratch)
-        unique = texts.join(filled.select(F.col("node").alias("id")), "id", "left_semi")
-        first = scratch.table(prefixes(unique, shingle, similarity, ranks), "first-shingles")
+        nameless = spread_join(own.select("id", "sig"), nodes.select("sig", "node", "size", "n"), ["sig"], own.count()).where("id <> node or size = 0")
+        copies = scratch.table(nameless.select("id"), "copies")
+        first = scratch.table(prefixes(chosen(texts, copies, "id", copies.count(), but=True), shingle, similarity, ranks), "first-shingles")
         shared = scratch.table(first.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared-shingles")
         meetings = scratch.table(spread_join(first.withColumnRenamed("n", "n_own"), shared.withColumn("n", F.col("size")), ["token"], first.count()).withColumnRenamed("n_own", "n"), "meetings")
         scratch.drop(first, shared)
@@ -279,7 +285,7 @@ def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", sh
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id): the class of each row, named by its smallest id; null ids name none."""
     with Scratch(docs.sparkSession) as scratch:
-        rows = scratch.table(with_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "rows")
+        rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
         classes = scratch.table(similar_rows(rows, ROW, "text", shingle, similarity), "row-classes")
         own = scratch.kept(rows.select("id", ROW).join(classes, ROW).select("id", "component"), "ids")
         names = scratch.kept(own.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "names")
