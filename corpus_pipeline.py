@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import mixing, packing, pii, quality_classifier, simhash_similar
-from twinfold.llm.common import durable, table
+from twinfold.llm.common import Scratch, chosen, durable, spread_join, table
 from twinfold.llm.simhash_similar import ROW
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,19 +18,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects go, each by its own text. Only rows of labels teach it."""
-    rows = durable(simhash_similar.with_rows(docs), "rows")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rejected = quality_classifier.classify(rows, labels, also=(ROW,)).where("predicted = 0").select(ROW)
-    return rows.join(rejected, ROW, "left_anti").select(*COLUMNS)
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates stays, that with the smallest id (nulls last); of equal ids any one."""
-    rows = durable(simhash_similar.with_rows(docs), "rows")
-    classes = simhash_similar.similar_rows(rows)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    stays = rows.select("doc_id", ROW).join(classes, ROW).groupBy("component").agg(F.min(place).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(durable(stays, "rows-that-stay"), ROW, "left_semi").select(*COLUMNS)
+    rows = simhash_similar.numbered(docs)
+    with Scratch(spark) as scratch:
+        classes = scratch.table(rows.select("doc_id", ROW).join(simhash_similar.similar_rows(rows), ROW), "classes")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+        first = classes.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).select("component", F.col(f"first.{ROW}").alias("stays"), "n")
+        gone = durable(spread_join(classes, scratch.table(first, "first-rows"), ["component"], classes.count()).where(F.col(ROW) != F.col("stays")).select(ROW), "near-duplicates")
+    return chosen(rows, gone, ROW, gone.count(), but=True).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
