@@ -120,6 +120,25 @@ def test_warc(spark):
     assert warc.read_warc(spark, folder, warc.write_warc(pages.limit(0), folder)).count() == 0
 
 
+def test_long_chats_and_clashing_names(spark):
+    """A megabyte of control strings in one text, a conversation of many turns, columns named as those that are made."""
+    long = "<|im_end|><!|" * 80_000
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", long), *((2, k, "assistant" if k % 2 else "user", f"t{k}<|") for k in range(5_000))]
+    names = "turns string, segments int, formatted string, loss_text int, n_turns int, valid int, row string, state string"
+    rows = spark.createDataFrame([(*t, "x", 1, "y", 2, 3, 4, "r", "s") for t in turns], f"conv_id long, turn long, role string, text string, {names}")
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(rows)).collect()}
+    assert out[1].turns[1].text == out[1].loss_text == long and out[1].valid and out[2].valid
+    assert [(t.role, t.text) for t in out[2].turns] == [(r, t) for c, _, r, t in turns if c == 2]
+
+
+def test_warc_with_clashing_names(spark):
+    names = "record_type int, refers_to string, payload string, headers int, file string, records int, __tf_sha string, __tf_id string, payload_digest int"
+    pages = spark.createDataFrame([(k, "u", "same" if k < 3 else "\U0001f600" * 400_000, 1, "a", "b", 2, "c", 3, "d", "e", 4) for k in range(1, 5)], f"page_id long, url string, html string, {names}")
+    folder = new_path(spark, "test-warc")
+    out = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, folder, warc.write_warc(pages, folder)).collect())
+    assert out == [(1, "response", None, 4), (2, "revisit", 1, 4), (3, "response", None, 1_600_000), (4, "revisit", 3, 1_600_000)]
+
+
 def member(kind, headers, block, case=str):
     fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1>", **headers, "Content-Length": len(block)}
     head = "WARC/1.0\r\n" + "".join(f"{case(k)}:{' ' if case is str else ''}{v}\r\n" for k, v in fields.items()) + "\r\n"

@@ -6,7 +6,7 @@ leaves its transitions is formatted all the same, with valid false. Control stri
 and texts are escaped by one more mark between their first two characters (``<|`` becomes
 ``<!|``, ``<!|`` becomes ``<!!|``), so the escaped text never holds a control string and
 reading back gives the very text. Repeated rows are turns of their own. An empty table gives no
-conversation. Columns besides the four named are not read.
+conversation. A very long text is escaped and read back in linear time; a conversation is one row. Columns besides the four named are not read.
 """
 
 from __future__ import annotations
