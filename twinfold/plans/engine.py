@@ -31,8 +31,9 @@ class Engine:
         self.min_size = parse_size(options.min_size)
         validate_globs(options.excludes)
 
-    def run(self, paths: list[str], act: bool = False, on_result: Callable[[Result], None] | None = None) -> Run:
-        """Plans for the trees at paths; with act, walks the plan (changing nothing if dry_run) and tells each result as it comes."""
+    def run(self, paths: list[str], act: bool = False, on_result: Callable[[Result], None] | None = None, on_summary: Callable[[str], None] | None = None) -> Run:
+        """Plans for the trees at paths; with act, walks the plan (changing nothing if dry_run). Results, and the summary of each
+        stage, are told as they come."""
         from ..sources.files import scan
 
         options, began = self.options, time.time()
@@ -40,15 +41,21 @@ class Engine:
         errors = rows.where("error is not null").select(F.lit("scan").alias("stage"), "path", F.col("error").alias("message"))
         rows = rows.where("error is null").drop("error")
         out = Run(None, self.spark.createDataFrame([], ERRORS).unionByName(errors))
+
+        def note(line: str) -> None:
+            out.summaries.append(line)
+            if on_summary is not None:
+                on_summary(line)
+
         s = filters.scan_stats(rows, filters.large_enough(self.min_size)).first()
-        out.summaries.append(f"Scanned {s['n_scanned']} files ({format_bytes_py(s['bytes_scanned'])}), matched {s['n_matched']} ({format_bytes_py(s['bytes_matched'])}) in {time.time() - began:.1f}s")
+        note(f"Scanned {s['n_scanned']} files ({format_bytes_py(s['bytes_scanned'])}), matched {s['n_matched']} ({format_bytes_py(s['bytes_matched'])}) in {time.time() - began:.1f}s")
         rows = rows.where(filters.large_enough(self.min_size))
         if not s["n_matched"]:
             return out
         began = time.time()
         chosen = verify.kept(screen.screen(rows, options.trust_device_boundaries))
         s = screen.screen_stats(chosen).first()
-        out.summaries.append(f"Selected {s['n_inodes']} candidates ({format_bytes_py(s['bytes'])}) in {time.time() - began:.1f}s")
+        note(f"Selected {s['n_inodes']} candidates ({format_bytes_py(s['bytes'])}) in {time.time() - began:.1f}s")
         if not s["n_inodes"]:
             return out
         began, total = time.time(), s["bytes"]
@@ -63,7 +70,7 @@ class Engine:
         v = done.stats.agg(*(F.sum(c).alias(c) for c in ("verified", "cached", "skipped")), share).first()
         c = verify.confirmed_stats(done.confirmed).first()
         known = f" ({format_bytes_py(v['cached'])} cached)" if v["cached"] else ""
-        out.summaries.append(f"Verified {format_bytes_py(v['verified'])}{known}, skipped {format_bytes_py(v['skipped'])} ({v['share']:.0f}%), confirmed {c['n_inodes']} duplicates ({format_bytes_py(c['bytes'])}) in {c['n_sets']} sets in {time.time() - began:.1f}s")
+        note(f"Verified {format_bytes_py(v['verified'])}{known}, skipped {format_bytes_py(v['skipped'])} ({v['share']:.0f}%), confirmed {c['n_inodes']} duplicates ({format_bytes_py(c['bytes'])}) in {c['n_sets']} sets in {time.time() - began:.1f}s")
         began = time.time()
         found = screen.members(rows, done.confirmed, options.trust_device_boundaries)
         out.actions = verify.kept(plan.plan(found, options.path_priority or tuple(paths), options.symlink_fallback))
@@ -73,7 +80,7 @@ class Engine:
                 n, ok, saved = n + 1, ok + (result.err is None), saved + (result.bytes_saved if result.err is None else 0)
                 if on_result is not None:
                     on_result(result)
-            out.summaries.append(f"Processed {ok}/{n} files in {c['n_sets']} sets, saved {format_bytes_py(saved)} in {time.time() - began:.1f}s")
+            note(f"Processed {ok}/{n} files in {c['n_sets']} sets, saved {format_bytes_py(saved)} in {time.time() - began:.1f}s")
         return out
 
 
@@ -102,12 +109,10 @@ def main(argv: list[str] | None = None) -> int:
         print(f"skipped {clean(r.target)}: {r.err}" if r.err else f"Replaced {clean(r.target)} with {r.action} to {clean(r.source)}")
 
     try:
-        run = Engine(spark, options).run(args.paths, True, tell if args.verbose else None)
+        run = Engine(spark, options).run(args.paths, True, tell if args.verbose else None, lambda line: print(line, file=sys.stderr, flush=True))
     except (ValueError, RuntimeError) as e:
         print(e, file=sys.stderr)
         return 1
     for row in run.errors.toLocalIterator():
         print(f"{row['stage']}: {row['path']}: {row['message']}", file=sys.stderr)
-    for line in run.summaries:
-        print(line, file=sys.stderr)
     return 0
