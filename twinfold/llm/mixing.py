@@ -7,7 +7,8 @@ seed, id and copy number and sorted by it within partitions: a global shuffle th
 executor's retry repeats exactly. The hot source only sends its counts before that.
 
 A null source is a source of its own; a null id hashes as the empty text. Rows with one id get
-the same count. A weight of 0, or a source without a weight, drops that source. An empty table
+the same count. A weight of 0, or a source without a weight, drops that source. Ties in the shuffle key are between copies of
+rows with one id. Texts only travel with their rows, however long. An empty table
 gives an empty result. Columns named copy_no or shuffle_key in the input are replaced; all others are kept.
 """
 
