@@ -11,8 +11,8 @@ farthest that any block agrees to either side. Anchors whose blocks all agree ne
 
 Parse: matches with one place on one diagonal join to longer ones. From the left, a text takes the longest match at each
 word as a factor (document, start, length, source, offset) and goes on at its end; where none of 35 words
-begins, it goes on at the next that does. (In a text that repeats itself many blocks are equal, and a place that isn't a
-neighbour may match longer.) Factors and matches of 35 words or more are duplicate spans. At the boundaries
+begins, it goes on at the next that does. The longest is that of the matches which the neighbours show: where many blocks of an
+anchor differ at both ends, or a text repeats itself, a place that is no neighbour may match longer. Factors and matches of 35 words or more are duplicate spans. At the boundaries
 of matches a window may equal one place to its left and another to its right part by part, and whole a third one that no neighbour
 showed. Those windows (that the farthest agreements don't rule out) are looked up by hash among all windows of
 their anchor, so the spans are exact.
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from . import blocks
 from . import wordhash as wh
-from .common import COMMON_SHARE, Scratch, spread_join, table, text_slices
+from .common import BROADCAST_IDS, COMMON_SHARE, Scratch, spread_join, table, text_slices
 
 WINDOW, GRAM = 35, 8
 #: Neighbours to each side that a block is compared with.
@@ -368,8 +368,11 @@ def ends_at(known: list[tuple[int, int, int, int]], limits: dict[int, list[int]]
     return ends
 
 
-def windows_at(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, v, cid, start): all windows that hold the anchors of cid, text, places (h, p)."""
+def windows_at(candidates: DataFrame, window: int, gram: int, around: bool, wanted: np.ndarray | None = None) -> DataFrame:
+    """(h, v, cid, start): windows of cid, text, places (h, p): those that start at p or (around) all that hold the anchor at p. With
+    wanted, sorted hashes, only those are told."""
+    cast = candidates.sparkSession.sparkContext.broadcast(wanted)
+    back = np.arange(window - gram + 1) if around else np.zeros(1, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,7 +382,6 @@ def windows_at(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                 flat = at.flatten()
                 row = np.repeat(np.arange(b - a), at.value_lengths().to_numpy(zero_copy_only=False))
                 word = flat.field(1).to_numpy(zero_copy_only=False) + w.first[row]
-                back = np.arange(window - gram + 1)
                 start = (word[:, None] - back).ravel()
                 row, h = np.repeat(row, len(back)), np.repeat(flat.field(0).to_numpy(zero_copy_only=False), len(back))
                 ok = (start >= w.first[row]) & (start + window <= w.first[row + 1])
@@ -387,6 +389,9 @@ def windows_at(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                 order = np.argsort(start, kind="stable")
                 start, row, h = start[order], row[order], h[order]
                 v = wh.spans_hash(w.hashes, start, start + window, _WINDOW).view(np.int64)
+                if cast.value is not None:
+                    told = np.isin(v, cast.value)
+                    start, row, h, v = start[told], row[told], h[told], v[told]
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array((start - w.first[row]).astype(np.int32))], names=["h", "v", "cid", "start"])
 
     return candidates.select("cid", "text", "places").mapInArrow(run, "h long, v long, cid long, start int")
@@ -418,14 +423,19 @@ def removed(candidates: DataFrame, window: int) -> DataFrame:
 
 
 def looked_up(open_: DataFrame, at: DataFrame, texts: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
-    """(cid, starts): the open windows (cid, h, start) that occur elsewhere. at: cid, h, p of all anchors; texts: cid, text."""
-    wanted = scratch.table(open_.select("h").distinct(), "open-anchors")
-    places = at.join(wanted, "h", "left_semi").groupBy("cid").agg(F.collect_list(F.struct("h", "p")).alias("places"))
-    windows = scratch.table(windows_at(texts.join(places, "cid"), window, gram), "boundaries")
+    """(cid, starts): the open windows (cid, h, start) that occur elsewhere. at: cid, h, p of all anchors; texts: cid, text. Only
+    windows that equal an open one are told of the other texts; their hashes go along up to a size, and in any case by a join."""
+    lists_ = open_.groupBy("cid").agg(F.collect_list(F.struct("h", F.col("start").alias("p"))).alias("places"))
+    own = scratch.table(windows_at(texts.join(lists_, "cid"), window, gram, False).distinct(), "open-windows")
+    wanted = scratch.table(own.groupBy("h", "v").agg(F.count("*").alias("n")), "wanted-windows")
+    few = wanted.count() <= BROADCAST_IDS
+    hashes = np.unique(np.array([r["v"] for r in wanted.select("v").collect()], np.int64)) if few else None
+    places = at.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("cid").agg(F.collect_list(F.struct("h", "p")).alias("places"))
+    equal = windows_at(texts.join(places, "cid"), window, gram, True, hashes).join(F.broadcast(wanted) if few else wanted, ["h", "v"], "left_semi")
     place = F.xxhash64("cid", "start")
-    equal = windows.groupBy("h", "v").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low <> high").select("h", "v", "n")
-    equal = scratch.table(equal, "equal-windows")
-    hits = spread_join(windows, equal, ["h", "v"], windows.count(), "left_semi")
+    twice = equal.groupBy("h", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h", "v")
+    twice = scratch.table(wanted.join(twice, ["h", "v"], "left_semi"), "equal-windows")
+    hits = spread_join(own, twice, ["h", "v"], own.count(), "left_semi")
     return scratch.table(hits.groupBy("cid").agg(F.collect_set("start").alias("starts")), "starts")
 
 
