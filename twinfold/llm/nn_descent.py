@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, delete, new_path, table
@@ -32,7 +32,7 @@ from .common import Scratch, delete, new_path, table
 NEIGHBOURS, REVERSE, ROUNDS = 24, 24, 5
 ORDERINGS, BLOCK, PLANES = 6, 512, 24
 TOLD = 12  # candidates that one gathering tells each of its members
-BEAM, EXPAND = 256, 48
+BEAM, EXPAND = 256, 128
 SEED = 6
 CODE = np.int16
 _LINK = "array<struct<s: double, v: long>>"
@@ -259,13 +259,14 @@ def search(graph: DataFrame, base: DataFrame, queries: DataFrame, scratch: Scrat
         gathered(graph, base, reverse).repartition(parts, "p").write.bucketBy(parts, "p").option("path", path).saveAsTable(name)
         around = spark.table(name)
         start = queries.join(base, queries["q"] == base["u"]).select("q", "code", "inv", F.array(F.struct(F.lit(9.0).alias("s"), F.col("q").alias("v"), F.lit(1).alias("x"))).alias("beam"))
-        state = scratch.table(start, "beam")
-        while not state.where(F.exists("beam", lambda b: b["x"] == 1)).isEmpty():
+        state, steps = scratch.table(start, "beam"), 0
+        while steps == 0 or open_.get["n"]:
             worst = F.when(F.size("beam") >= width, F.element_at("beam", -1)["s"]).otherwise(F.lit(-9.0))
             frontier = state.select("q", "code", "inv", worst.alias("worst"), F.explode(F.filter("beam", lambda b: b["x"] == 1)).alias("b")).select("q", "code", "inv", "worst", F.col("b.v").alias("p"))
             found = expand(frontier.hint("shuffle_hash").join(around, "p")).groupBy("q").agg(F.collect_list("found").alias("found"))
-            last = state
-            state = scratch.table(advanced(last.join(found, "q", "left"), width, step), "beam")
+            last, open_, steps = state, Observation(), steps + 1
+            after = advanced(last.join(found, "q", "left"), width, step)
+            state = scratch.table(after.observe(open_, F.count_if(F.exists("beam", lambda b: b["x"] == 1)).alias("n")), "beam")
             scratch.drop(last)
         return state
     finally:
