@@ -110,6 +110,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def mounted(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a path of the file system that processes have mounted, whether its name has a scheme or not; None if it lies on another."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    found = system.resolvePath(at).toUri()
+    return found.getPath() if found.getScheme() == "file" else None
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext

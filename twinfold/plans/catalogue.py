@@ -363,20 +363,22 @@ TREE = """, d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documen
 tree AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.bak' ELSE '.txt' END AS path, CAST(strlen(text) AS BIGINT) AS size, text FROM d)"""
 
 
-def written_tree(spark: SparkSession, sf: str) -> str | None:
-    """All documents as files under the shared folder, each written by the task that reads it; None where that folder isn't mounted."""
+def written_tree(spark: SparkSession, sf: str) -> str:
+    """All documents as files under the shared folder (or the warehouse, if only that is mounted), each written by the task that reads it. A
+    document without a path is no file."""
     import os
     import uuid
     from collections.abc import Iterator
 
     import pyarrow as pa
 
-    root = verify.shared_folder(spark)
-    if not root.startswith("file:"):
-        return None
-    root = f"{root.removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    shared = (verify.shared_folder(spark), spark.conf.get("spark.sql.warehouse.dir"))
+    folder = next(filter(None, (verify.mounted(spark, f) for f in shared)), None)
+    if folder is None:
+        raise RuntimeError(f"no folder to write files to: none of {', '.join(shared)} is on a mounted file system")
+    root = f"{folder}/tree-{uuid.uuid4().hex}"
     kind = F.when(F.col("doc_id") % 10 == 0, ".bak").otherwise(".txt")
-    named = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    named = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")).where("path is not null")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,8 +401,8 @@ def files_source(spark, sf):
     from ..sources.files import scan
 
     root = written_tree(spark, sf)
-    rows = scan(spark, [root] if root else [], 0, ("*.bak",)).where("error is null")
-    return rows.select(F.substring("path", len(root or "") + 2, 1 << 20).alias("path"), "size", "nlink")
+    rows = scan(spark, [root], 0, ("*.bak",)).where("error is null")
+    return rows.select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size", "nlink")
 
 
 @query(TREE.replace(", d AS", "d AS", 1) + " SELECT min(path) OVER (PARTITION BY size, text) AS source, path AS target, 'hardlink' AS action, size AS bytes_saved FROM tree WHERE size > 0 QUALIFY path > min(path) OVER (PARTITION BY size, text)", base=None)
@@ -411,8 +413,7 @@ def apply_links(spark, sf):
 
     root = written_tree(spark, sf)
     done: list[tuple] = []
-    if root:
-        Engine(spark, DedupeOptions(dry_run=False)).run([root], act=True, on_result=lambda r: done.append((r.source[len(root) + 1 :], r.target[len(root) + 1 :], r.action, r.bytes_saved)))
+    Engine(spark, DedupeOptions(dry_run=False)).run([root], act=True, on_result=lambda r: done.append((r.source[len(root) + 1 :], r.target[len(root) + 1 :], r.action, r.bytes_saved)))
     return spark.createDataFrame(done, "source string, target string, action string, bytes_saved long")
 
 
