@@ -375,6 +375,36 @@ def test_greedy_takes_the_longest_and_goes_on_at_its_end():
     assert substring_dedup.greedy([(0, 40, 1, 0), (6, 41, 2, 0)], 35) == [(0, 40, 1, 0)] and substring_dedup.greedy([], 35) == []
 
 
+def test_op7_partitions_open_no_windows(spark, monkeypatch):
+    """Blocks are compared across the ends of range partitions, so no more windows are left to look up where there are more of these."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 10**6, 60)
+    family = [base.copy() for _ in range(120)]
+    for words in family:
+        words[rng.integers(0, 60, 2)] = rng.integers(10**6, 10**7, 2)
+    docs = spark.createDataFrame([(k, " ".join(map(str, words))) for k, words in enumerate(family)], "doc_id long, text string")
+    looked_up, seen = substring_dedup.looked_up, []
+
+    def spy(open_, *rest):
+        texts = dict(rest[1].collect())
+        seen.append(sorted((r.h, r.p, r.start, texts[r.cid]) for r in open_.collect()))
+        return looked_up(open_, *rest)
+
+    monkeypatch.setattr(substring_dedup, "looked_up", spy)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    results = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted(map(tuple, substring_dedup.substring_dedup(docs, window=9, gram=3).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1]
+    assert len(seen[1]) <= len(seen[0]) + 5, (len(seen[0]), len(seen[1]))  # ties of sources may differ
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_passages_in_many_surroundings(spark, parts):
     """A passage cut at every place on both sides, so that the index holds many blocks of one anchor that differ at either end."""

@@ -187,6 +187,7 @@ def occurrences(candidates: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 _MATCH = "cid long, p int, h long, side int, full boolean, bound int, found array<struct<source: long, q: int, l: int, r: int>>"
+_FOUND = pa.list_(pa.struct([("source", pa.int64()), ("q", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]))
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -194,8 +195,14 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.cumprod((x == y) & (x > 0), axis=1, dtype=np.int8).sum(1, dtype=np.int32)
 
 
+_EDGE = "k1 binary, k2 binary, lo int, ro int, asked boolean"
+
+
 class Neighbours:
-    """Blocks in sorted order, each compared with a few before and after it. What is asked of a row is told once those after it came."""
+    """Blocks in sorted order, each compared with a few before and after it. What is asked of a row is told once those after it came.
+
+    Those that lack neighbours at the ends of a partition aren't told but handed on (asked), with as many more beside them; of the
+    ends of all partitions, in order, edges tells what is asked."""
 
     names = [x.split()[0] for x in ("cid", "p", "h", "side", "full", "bound", "found")]
 
@@ -204,27 +211,47 @@ class Neighbours:
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, 0  # rows in memory; the first of them are told and only kept as neighbours
-        first = True
+        head, gone = None, 0  # the first rows of the partition; how many are no longer held
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, now]) if held is not None else now
+            if not gone:
+                head = held.slice(0, 2 * NEIGHBOURS)
             upto = held.num_rows - NEIGHBOURS
             if upto > done:
-                yield self.told(held, done, upto, first, False)
-                first = False
+                a = max(done, NEIGHBOURS - gone)
+                if upto > a:
+                    yield self.with_edge(self.told(held, a, upto))
                 cut = max(0, upto - NEIGHBOURS)
-                held, done = held.slice(cut), upto - cut
+                held, done, gone = held.slice(cut), upto - cut, gone + cut
         if held is not None:
-            yield self.told(held, done, held.num_rows, first, True)
+            n = gone + held.num_rows
+            tail = min(2 * NEIGHBOURS, n - head.num_rows)
+            at = np.concatenate([np.arange(head.num_rows), np.arange(n - tail, n)])
+            rows = pa.concat_tables([head, held.slice(held.num_rows - tail)]).combine_chunks()
+            one = lambda c: rows.column(c).combine_chunks()
+            asked = pa.array((at < NEIGHBOURS) | (at >= n - NEIGHBOURS))
+            nothing = [pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, _FOUND)]
+            yield pa.RecordBatch.from_arrays([*map(one, self.names[:5]), *nothing, *map(one, ("k1", "k2", "lo", "ro")), asked], names=[*self.names, "k1", "k2", "lo", "ro", "asked"])
+
+    def with_edge(self, told: pa.RecordBatch) -> pa.RecordBatch:
+        n = told.num_rows
+        kinds = {"k1": pa.binary(), "k2": pa.binary(), "lo": pa.int32(), "ro": pa.int32(), "asked": pa.bool_()}
+        return pa.RecordBatch.from_arrays([*told.columns, *(pa.nulls(n, k) for k in kinds.values())], names=[*self.names, *kinds])
+
+    def edges(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := list(batches):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            yield self.told(rows, 0, rows.num_rows).filter(rows.column("asked").combine_chunks())
 
     def words(self, column: pa.ChunkedArray) -> np.ndarray:
         blank = bytes(8 * self.reach)
         raw = b"".join(v or blank for v in column.to_pylist())
         return np.frombuffer(raw, ">u8").reshape(len(column), self.reach).astype(np.uint64)
 
-    def told(self, rows: pa.Table, a: int, b: int, first: bool, last: bool) -> pa.RecordBatch:
+    def told(self, rows: pa.Table, a: int, b: int) -> pa.RecordBatch:
         n = rows.num_rows
         h, side, cid, p, full, lo, ro = (rows.column(c).to_numpy() for c in ("h", "side", "cid", "p", "full", "lo", "ro"))
         k1, k2 = self.words(rows.column("k1")), self.words(rows.column("k2"))
@@ -255,12 +282,6 @@ class Neighbours:
             enough = left + self.gram + right >= self.window
             for u, v in ((i, j), (j, i)):
                 offer(u[enough], v[enough], left[enough], right[enough])
-        # nothing is known of the neighbours in other partitions
-        own = np.where(side == 0, ro, lo)
-        if first:
-            bound[0] = own[0]
-        if last:
-            bound[n - 1] = own[n - 1]
         pick = best[:, a:b].T
         keep = pick >= 0
         for k in (1, 2):
@@ -273,12 +294,15 @@ class Neighbours:
         return pa.RecordBatch.from_arrays([one("cid"), one("p"), one("h"), one("side"), one("full"), pa.array(bound[a:b]), pa.ListArray.from_arrays(pa.array(offsets), values)], names=self.names)
 
 
-def matches(blocks_: DataFrame, window: int, gram: int) -> DataFrame:
-    """For each block, by the words after it (side 0) and before it (side 1): its matches, and the farthest that any block agrees to that side."""
+def matches(blocks_: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
+    """For each block, by the words after it (side 0) and before it (side 1): its matches, and the farthest that any block agrees to that side.
+    The ends of the range partitions, 16 rows of each, meet in one task."""
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("k1"), F.col("left").alias("k2")), F.struct(F.lit(1).alias("side"), F.col("left").alias("k1"), F.col("right").alias("k2")))
     rows = blocks_.select("h", "cid", "p", "full", "lo", "ro", F.inline(sides)).where("side = 0 or not full")
-    order = ["h", "side", "k1", "k2", "cid", "p"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(Neighbours(window, gram).run, _MATCH)
+    order, near = ["h", "side", "k1", "k2", "cid", "p"], Neighbours(window, gram)
+    told = scratch.table(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(near.run, f"{_MATCH}, {_EDGE}"), "matches")
+    ends = told.where("asked is not null").drop("bound", "found").coalesce(1).sortWithinPartitions(*order)
+    return told.where("asked is null").select(*near.names).unionByName(scratch.table(ends.mapInArrow(near.edges, _MATCH), "matches-at-ends"))
 
 
 _PARSED = "cid long, factors array<struct<start: int, length: int, source: long, offset: int>>, spans array<struct<start: int, end: int>>, open array<struct<h: long, p: int, start: int>>"
@@ -459,9 +483,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = keyed.select("c", "text")
         texts = texts.join(common, "c", "left_anti").unionByName(texts.join(common, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text")))
         candidates = scratch.table(with_lists(texts, lists_), "candidates")
-        found = scratch.table(matches(scratch.table(occurrences(candidates, window, gram), "blocks"), window, gram), "matches")
+        found = matches(scratch.table(occurrences(candidates, window, gram), "blocks"), window, gram, scratch)
         told = scratch.table(parsed(found, window, gram), "parsed")
-        scratch.drop(found)
         open_ = scratch.table(told.select("cid", F.inline("open")), "open")
         starts = looked_up(open_, at, candidates.select("cid", "text"), window, gram, scratch)
         single = contents.where("n = 1").select("cid")
