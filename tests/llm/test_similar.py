@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from twinfold.llm import blocks, simhash_similar
+from twinfold.llm import blocks, components, simhash_similar
+from twinfold.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -127,3 +128,37 @@ def test_blocks_meet_every_pair_once(spark):
         at = np.concatenate([[0], np.cumsum(sizes)])
         got = [(int(i), int(j)) for a, b in blocks.index_pairs(at) for i, j in zip(a, b, strict=True)]
         assert got == [(i, j) for a, b in zip(at[:-1], at[1:], strict=True) for i in range(a, b) for j in range(i + 1, b)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_joined_is_components(spark, most):
+    """Classes are those of a search over all edges, whether forests meet in one task or go through the rounds."""
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-(10**12), 10**12, 800)[rng.integers(0, 800, (600, 2))]] + [(5, 5)]
+    near = {}
+    for a, b in ((a, b) for a, b in edges if a != b):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [node] if node not in want else []
+        while todo:
+            n = todo.pop()
+            if n not in want:
+                want[n] = node
+                todo += near[n]
+    with Scratch(spark) as scratch:
+        table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+        got = components.joined(table, scratch, most).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_few_links_take_no_star_rounds(spark, monkeypatch):
+    """The rounds plan several joins each on the driver; the chain of links of a small table is joined without them."""
+    def fail(*_):
+        raise AssertionError("a star round")
+
+    monkeypatch.setattr(components, "small_star", fail)
+    docs = [(k, " ".join(f"w{k + j}" for j in range(80))) for k in range(30)]
+    got = simhash_similar.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 30

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import blocks, simhash
 from . import wordhash as wh
 from .common import Scratch, chosen, durable, packed, spread_join, text_slices, tree_sum
-from .components import components
+from .components import joined
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Shingles are counted in so many buckets (2 ** SKETCH_BITS counts of 32 bits each).
@@ -99,7 +99,11 @@ def ranks_of(counts: np.ndarray | None) -> np.ndarray:
     """The place of each bucket in the order: the power of two by which it counts more than the middle one."""
     if counts is None:
         return np.zeros(1 << SKETCH_BITS, np.uint8)
-    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / max(1.0, float(np.median(counts))))), 0).astype(np.uint8)
+    middle, out = max(1.0, float(np.median(counts))), np.empty(len(counts), np.uint8)
+    for a in range(0, len(counts), 1 << 16):  # the driver holds no array of floats of all
+        part = slice(a, a + (1 << 16))
+        out[part] = np.maximum(np.floor(np.log2(np.maximum(counts[part], 1) / middle)), 0)
+    return out
 
 
 def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -261,13 +265,13 @@ def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", sh
         shared = scratch.table(first.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared-shingles")
         meetings = scratch.table(spread_join(first.withColumnRenamed("n", "n_own"), shared.withColumn("n", F.col("size")), ["token"], first.count()).withColumnRenamed("n_own", "n"), "meetings")
         scratch.drop(first, shared)
-        labels = components(links, scratch)
+        labels = joined(links, scratch)
         for seed in range(PIVOT_ROUNDS):
             pairs = scratch.table(at_pivots(meetings, labels, similarity, seed), "pivot-pairs")
             if pairs.isEmpty():
                 break
             links = links.unionByName(verified(pairs, texts, shingle, similarity, scratch))
-            labels = components(links, scratch)
+            labels = joined(links, scratch)
         left, most = scratch.table(candidates(meetings, labels, similarity), "candidates"), FIRST_PAIRS
         while True:
             apart = labelled(labelled(left.select("a", "b", "c"), "a", labels, "la"), "b", labels, "lb").where("la <> lb")
@@ -276,7 +280,7 @@ def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", sh
             if left.isEmpty():
                 break
             links = links.unionByName(verified(left.where(F.col("rank") <= most).select("a", "b"), texts, shingle, similarity, scratch))
-            labels = components(links, scratch)
+            labels = joined(links, scratch)
             left, most = left.where(F.col("rank") > most), most * MORE_PAIRS
         named = scratch.kept(nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component"), "n"), "named-sets")
         return spread_join(own.select(F.col("id").alias(row_col), "sig"), named, ["sig"], own.count()).select(row_col, "component")
