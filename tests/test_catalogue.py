@@ -61,3 +61,14 @@ def test_documents_without_a_path(spark, tmp_path):
     for name in ("files_source", "apply_links"):
         got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got) == sorted(db.execute(catalogue.SQL[name]).fetchall())
+
+
+def test_files_of_any_source(spark, tmp_path):
+    """Each row is a file of its own, however often its path comes and whatever its source, also one that excludes leave out as a folder."""
+    sources = ["x.bak", "x.bak/y", "", ".", "..", "a/../b", "/abs", "a//b", "a_/b_", "%41 +", "\u00fc\u65e5", "l\nm", "src1/1.txt", "z" * 300]
+    rows = [(k, "t" * k, "de", s) for k, s in enumerate(sources, 2)] + [(1, "a", "de", "src1"), (1, "a", "de", "src1"), (1, "bb", "de", "src1"), (10, "c", "de", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.files_source(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(db.execute(catalogue.SQL["files_source"]).fetchall())

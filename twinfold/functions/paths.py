@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -38,6 +39,21 @@ def relative_path(source: Column, target: Column) -> Column:
     return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(here) - shared), F.slice(there, shared + 1, F.size(there))), "/")
 
 
+#: Characters of a quoted text that one folder's name takes; file systems allow 255 bytes.
+PIECE = 200
+
+
+def as_folders(text: str) -> str:
+    """A relative path of folders that stands for any text: quoted, in pieces, each with an underscore behind it, so that no name is empty, a dot or ends in .bak."""
+    quoted = urllib.parse.quote(text, safe="")
+    return "/".join(quoted[a : a + PIECE] + "_" for a in range(0, max(len(quoted), 1), PIECE))
+
+
+def from_folders(path: Column) -> Column:
+    """The text that as_folders made a path of."""
+    return F.url_decode(F.regexp_replace(path, "_(/|$)", ""))
+
+
 def message(action: Column, source: Column, target: Column, reason: Column) -> Column:
     """What was done to a target, for people."""
     s, t = escape_path(source), escape_path(target)

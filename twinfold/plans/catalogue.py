@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import any_of
-from ..functions.paths import escape_path, message, relative_path
+from ..functions.paths import as_folders, basename, escape_path, from_folders, message, relative_path
 from ..functions.sizes import format_bytes
 from ..model import CACHE_VERSION, CHUNK, PROBE, SKIPPED, SYMLINK
 from ..operators import cache, filters, plan, screen, verify
@@ -363,14 +363,17 @@ TREE = """, d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documen
 tree AS (SELECT source || '/' || doc_id || CASE WHEN doc_id % 10 = 0 THEN '.bak' ELSE '.txt' END AS path, CAST(strlen(text) AS BIGINT) AS size, text FROM d)"""
 
 
-def written_tree(spark: SparkSession, sf: str) -> str:
+def written_tree(spark: SparkSession, sf: str, apart: bool = False) -> str:
     """All documents as files under the shared folder (or the warehouse, if only that is mounted), each written by the task that reads it. A
-    document without a path is no file."""
+    document without a path is no file. Documents of one path are one file unless they are kept apart: then each lies, its source as
+    as_folders has it, below a folder for its task and how often that has had its path before."""
     import os
     import uuid
+    from collections import Counter
     from collections.abc import Iterator
 
     import pyarrow as pa
+    from pyspark import TaskContext
 
     shared = (verify.shared_folder(spark), spark.conf.get("spark.sql.warehouse.dir"))
     folder = next(filter(None, (verify.mounted(spark, f) for f in shared)), None)
@@ -378,11 +381,17 @@ def written_tree(spark: SparkSession, sf: str) -> str:
         raise RuntimeError(f"no folder to write files to: none of {', '.join(shared)} is on a mounted file system")
     root = f"{folder}/tree-{uuid.uuid4().hex}"
     kind = F.when(F.col("doc_id") % 10 == 0, ".bak").otherwise(".txt")
-    named = spark.read.parquet(f"{sf}/documents.parquet").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), kind).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")).where("path is not null")
+    name = F.concat(F.col("doc_id").cast("string"), kind)
+    named = spark.read.parquet(f"{sf}/documents.parquet").select("source", name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")).where("source is not null and name is not null")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, had = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for source, name, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                path = f"{source}/{name}"
+                if apart:
+                    had[path] += 1
+                    path = f"{task}-{had[path]}/{as_folders(source)}/{name}"
                 at = f"{root}/{path}"
                 os.makedirs(os.path.dirname(at), exist_ok=True)
                 own = f"{at}.{uuid.uuid4().hex}"
@@ -400,9 +409,10 @@ def files_source(spark, sf):
     """Lists a tree of files that holds all documents."""
     from ..sources.files import scan
 
-    root = written_tree(spark, sf)
+    root = written_tree(spark, sf, apart=True)
     rows = scan(spark, [root], 0, ("*.bak",)).where("error is null")
-    return rows.select(F.substring("path", len(root) + 2, 1 << 20).alias("path"), "size", "nlink")
+    below = F.regexp_extract(F.substring("path", len(root) + 2, 1 << 20), "(?s)^[^/]*/(.*)/[^/]*$", 1)
+    return rows.select(F.concat(from_folders(below), F.lit("/"), basename(F.col("path"))).alias("path"), "size", "nlink")
 
 
 @query(TREE.replace(", d AS", "d AS", 1) + " SELECT min(path) OVER (PARTITION BY size, text) AS source, path AS target, 'hardlink' AS action, size AS bytes_saved FROM tree WHERE size > 0 QUALIFY path > min(path) OVER (PARTITION BY size, text)", base=None)
