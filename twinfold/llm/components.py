@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import Scratch, spread_join
+from .common import Scratch, lean, spread_join
 
 #: Edges that are joined in one task (16 bytes each, some arrays); more are contracted by partitions and go through the rounds.
 FOREST_EDGES = 1_000_000
@@ -72,7 +72,7 @@ def forest(edges: DataFrame) -> DataFrame:
         a, b = contracted()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def joined(edges: DataFrame, scratch: Scratch, most: int = FOREST_EDGES) -> DataFrame:

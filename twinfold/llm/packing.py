@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 
 LENGTH, END_ID = 2048, 1
 STEP = 8  # ids a class
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, ranks: str |
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.list_(pa.int64()))], names=names)
 
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in PIECE)])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 # The linear program
@@ -321,7 +321,7 @@ def cut_pieces(df: DataFrame, cuts: dict[int, list[tuple[int, int]]]) -> DataFra
                 new = {"start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
                 yield pa.RecordBatch.from_arrays([new.get(n, chosen.column(k)) for n, k in spot.items()], names=names)
 
-    return at.mapInArrow(run, at.schema).drop("cut")
+    return at.mapInArrow(lean(run), at.schema).drop("cut")
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, ranks: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, packed, table, text_slices, tree_sum
+from .common import Scratch, lean, packed, table, text_slices, tree_sum
 from .textstats import STATS, matrix, text_stats, with_stats
 
 FOURIER, RIDGE, SEED = 256, 1.0, 8
@@ -78,7 +78,7 @@ def summed(labelled: DataFrame, model: Model, scratch: Scratch) -> tuple[np.ndar
                 total += z.T @ np.column_stack([z, y])
         yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], names=["sums"])
 
-    total = tree_sum(labelled.select("quality", *STATS).mapInArrow(part, "sums binary"), np.float64, scratch)
+    total = tree_sum(labelled.select("quality", *STATS).mapInArrow(lean(part), "sums binary"), np.float64, scratch)
     total = np.zeros((size, size + 1)) if total is None else total.reshape(size, size + 1)
     return total[:, :size], total[:, size]
 
@@ -103,7 +103,7 @@ def with_scores(stats: DataFrame, model: Model, raw: bool = False) -> DataFrame:
             x = inputs(matrix(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cast.value.raw(x) if raw else np.clip(cast.value.score(x), 0, 1))], names=[*batch.schema.names, "score"])
 
-    return stats.mapInArrow(run, T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
+    return stats.mapInArrow(lean(run), T.StructType([*stats.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def fit(labelled: DataFrame, scratch: Scratch) -> Model:
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (n, *a, *b)], names=names)
 
     names = ["n", *(f"a{k}" for k in range(N_INPUTS)), *(f"b{k}" for k in range(N_INPUTS))]
-    row = teaching.select(*STATS).mapInArrow(moments, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
+    row = teaching.select(*STATS).mapInArrow(lean(moments), ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).first()
     n = row["n"] or 0
     if not n:
         return blank
@@ -172,7 +172,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 score = cast.value.score(inputs({k: v.astype(float) for k, v in text_stats(data, offsets).items()}))
                 yield batch.slice(a, b - a).filter(pa.array(score >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .common import Scratch, spread_join, table
+from .common import Scratch, lean, spread_join, table
 from .components import components
 
 SEED, SHINGLE_WORDS = 42, 3
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[id_col, "fingerprint"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def cells(prints: DataFrame, name: str, spread: bool) -> DataFrame:
@@ -126,7 +126,7 @@ def compared(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f[tied]), pa.array(f[root[tied]])], names=["a", "b"])
 
     dealt = rows.select(*keys, "b", "f").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def links(prints: DataFrame, scratch: Scratch) -> DataFrame:

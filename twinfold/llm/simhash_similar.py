@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, simhash
 from . import wordhash as wh
-from .common import Scratch, chosen, durable, packed, spread_join, text_slices, tree_sum
+from .common import Scratch, chosen, durable, lean, packed, spread_join, text_slices, tree_sum
 from .components import joined
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -92,7 +92,7 @@ def described(texts: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sums]), pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)), pa.array(f), pa.nulls(b - a, pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(counts)])], names=names)
 
-    return texts.mapInArrow(run, "id long, sig binary, n long, f long, counts binary")
+    return texts.mapInArrow(lean(run), "id long, sig binary, n long, f long, counts binary")
 
 
 def ranks_of(counts: np.ndarray | None) -> np.ndarray:
@@ -127,7 +127,7 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, ranks: np.ndarra
                 doc = doc[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(n[doc].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "n", "pos"])
 
-    return texts.mapInArrow(run, "token long, node long, n int, pos int")
+    return texts.mapInArrow(lean(run), "token long, node long, n int, pos int")
 
 
 def sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -140,7 +140,7 @@ def sets(texts: DataFrame, shingle: int) -> DataFrame:
                 edges = np.searchsorted(doc, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())], names=["id", "s"])
 
-    return texts.mapInArrow(run, "id long, s binary")
+    return texts.mapInArrow(lean(run), "id long, s binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
                 good.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    out = scratch.table(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "similar-pairs")
+    out = scratch.table(both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long"), "similar-pairs")
     scratch.drop(ids, held)
     return out
 
@@ -190,7 +190,7 @@ def at_pivots(meetings: DataFrame, labels: DataFrame, similarity: float, seed: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i[ok]], node[j[ok]])), pa.array(np.maximum(node[i[ok]], node[j[ok]]))], names=["a", "b"])
 
     dealt = rows.select("token", "block", "place", "node", "n", "pos", "label").repartition("token", "block").sortWithinPartitions("token", "block", "place", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def candidates(meetings: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -218,7 +218,7 @@ def candidates(meetings: DataFrame, labels: DataFrame, similarity: float) -> Dat
 
     open_ = rows.join(mixed, "token", "left_semi")
     dealt = blocks.met(open_, "node", "size").select(*keys, "b", "label", "node", "n", "pos").repartition(*keys).sortWithinPartitions(*keys, "label", "node")
-    told = dealt.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    told = dealt.mapInArrow(lean(run), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     # beyond the shared first shingles two sets share no more than what follows the prefix of one of them
     rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import wordhash as wh
-from .common import text_slices
+from .common import lean, text_slices
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_digits", "n_marks", "n_commas", "n_stops", "n_distinct", "n_non_ascii", "n_long_words", "n_short_words")
 _SYMBOLS = np.zeros(256, bool)
@@ -65,7 +65,7 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 stats = text_stats(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=[id_col, *STATS])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def matrix(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
