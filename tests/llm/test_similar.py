@@ -5,10 +5,11 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from twinfold.llm import blocks, components, simhash_similar
+from twinfold.llm import blocks, components, parities, simhash_similar
 from twinfold.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,3 +163,91 @@ def test_few_links_take_no_star_rounds(spark, monkeypatch):
     docs = [(k, " ".join(f"w{k + j}" for j in range(80))) for k in range(30)]
     got = simhash_similar.similar_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 30
+
+
+def pairs_told(spark, monkeypatch, texts):
+    """The class of each text, and how many rows of pairs all shared shingles told."""
+    told, plain = spark.sparkContext.accumulator(0), simhash_similar.lean
+
+    def counted(run):
+        def counting(batches):
+            for batch in run(batches):
+                if "na" in batch.schema.names:
+                    told.add(batch.num_rows)
+                yield batch
+
+        return plain(counting)
+
+    monkeypatch.setattr(simhash_similar, "lean", counted)
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return got, told.value
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Copies of one text that differ from each other too much: hundreds meet at a shingle, few pairs leave it."""
+    rng = random.Random(5)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(300):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 3):
+            own[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    got, told = pairs_told(spark, monkeypatch, texts)
+    assert got == linked_classes(dict(enumerate(texts)))[0] and len(set(got.values())) > 100
+    assert told < 10 * len(texts), told
+
+
+def test_links_of_a_group_are_told_as_forests(spark, monkeypatch):
+    """Copies that are all alike, without pivots: what connects them is told, not each pair at each shingle."""
+    monkeypatch.setattr(simhash_similar, "PIVOT_ROUNDS", 0)
+    rng = random.Random(6)
+    texts = [" ".join(f"x{rng.randrange(10**9)}" if k == at else f"w{k}" for k in range(120)) for at in rng.choices(range(120), k=200)]
+    got, told = pairs_told(spark, monkeypatch, texts)
+    assert set(got.values()) == {0} and told < 40 * len(texts), told
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_copies_of_copies_without_pivots(spark, monkeypatch, rounds):
+    """Classes are those of all pairs, however many links come as forests."""
+    monkeypatch.setattr(blocks.met, "__defaults__", (7,))
+    monkeypatch.setattr(blocks.block_of, "__defaults__", (7,))
+    for name, value in (("PIVOT_GROUP", 2), ("PIVOT_ROUNDS", 0), ("FOREST_ROUNDS", rounds)):
+        monkeypatch.setattr(simhash_similar, name, value)
+    rng = random.Random(rounds)
+    texts = copies(rng, 60, 120, (1, 6)) + copies(rng, 30, 60, (0, 3)) + copies(rng, 20, 9, (0, 2)) + copies(rng, 12, 400, (10, 30)) + copies(rng, 6, 6000, (50, 300))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == linked_classes(dict(enumerate(texts)))[0]
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    made = []
+    for n in (1, 3, 31, 33, 64, 65, 90, 300, 520, 3000, 9000):
+        own = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        made += [np.unique(np.concatenate([own[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (0, 0, n // 20, n // 9, n // 3)]
+    doc = np.repeat(np.arange(len(made)), [len(m) for m in made])
+    column = parities.strings(doc, np.concatenate(made), len(made) + 1)
+    assert [8 * len(s) for s in column.to_pylist()] == [*(min(8192, max(64, 1 << (2 * len(m) - 1).bit_length())) for m in made), 64]
+    i, j = (x.ravel() for x in np.indices((len(made), len(made))))
+    told = parities.Parities(pa.chunked_array([column[:7], column[7:]])).apart(i, j)
+    true = np.array([len(np.setxor1d(made[x], made[y])) for x, y in zip(i, j, strict=True)])
+    assert (told <= true).all() and ((true - told) % 2 == 0).all()
+    near = (true > 0) & (true <= 40) & (np.array([len(made[x]) for x in i]) >= 90)
+    assert near.any() and (told[near] >= 0.8 * true[near]).all()
+    unknown = parities.Parities(pa.array([None, b"", column[9].as_py()], pa.binary()))
+    assert unknown.apart(np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [0, 0, 0]
+
+
+def test_spanning_connects_with_the_least():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 0), (2, 1), (5, 40), (60, 50), (60, 900)):
+        a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m)
+        kept = blocks.spanning(n, a, b, w)
+        own, total = np.arange(n), 0
+        for k in np.lexsort((b, a, w)):  # Kruskal
+            if own[a[k]] != own[b[k]]:
+                own[own == own[a[k]]] = own[b[k]]
+                total += w[k]
+        assert (blocks.roots(n, a, b) == blocks.roots(n, a[kept], b[kept])).all()
+        assert len(kept) == n - len(set(own.tolist())) and w[kept].sum() == total

@@ -81,3 +81,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         apart = r[a] != r[b]
         a, b = a[apart], b[apart]
     return r
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links a, b of n nodes connect all that they do, the least of weight first: n - 1 at most."""
+    order = np.lexsort((b, a, weight))
+    a, b = a[order], b[order]
+    root, kept, left = np.arange(n), [], np.flatnonzero(a != b)
+    while len(left):
+        first = np.full(n, len(order))
+        np.minimum.at(first, root[a[left]], left)
+        np.minimum.at(first, root[b[left]], left)
+        some = np.unique(first[first < len(order)])
+        kept.append(some)
+        root = roots(n, np.concatenate([np.arange(n), a[some]]), np.concatenate([root, b[some]]))
+        left = left[root[a[left]] != root[b[left]]]
+    return order[np.concatenate(kept)] if kept else np.empty(0, np.int64)

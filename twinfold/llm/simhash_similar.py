@@ -14,7 +14,10 @@ sources, and each is checked on the whole sets before it links anything:
    similarity out. No bound here is an estimate: no pair of the similarity is lost, however large its group.
 
 Large groups first meet at pivots, by which most of a family of copies falls into one class, and then only
-pairs across classes are made, in pairs of blocks; those are checked by rounds, the likeliest of each two classes first.
+pairs across classes are met, in pairs of blocks. Where a large group is met, the parities of the sets (parities.py) bound in how many
+shingles two sets differ, and pairs that this rules out go no further. What is left nearly always is a link, so a pair of
+blocks at first tells only as many of them as connect its classes, fewer than it has rows; when those have been checked, all
+pairs that still lie across classes are told and checked by rounds, the likeliest of each two classes first.
 
 Texts are lower-cased; words are as for the fingerprints of op1; a text of fewer words than a shingle is one shingle. A null or
 empty text has no shingle and is alike only to other empty texts. Rows with a null id belong to no class. Repeated rows are copies.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import blocks, simhash
+from . import blocks, parities, simhash
 from . import wordhash as wh
 from .common import Scratch, chosen, durable, lean, packed, spread_join, text_slices, tree_sum
 from .components import joined
@@ -40,6 +43,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCH_BITS = 21
 #: Groups from this size on meet at pivots first.
 PIVOT_GROUP, PIVOTS, PIVOT_ROUNDS = 64, 8, 2
+#: Rounds in which large groups tell only what connects their classes, before all pairs are told.
+FOREST_ROUNDS = 2
 #: Pairs between two classes that the first round checks; each round checks so many times more.
 FIRST_PAIRS, MORE_PAIRS = 2, 16
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -143,6 +148,18 @@ def sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(lean(run), "id long, s binary")
 
 
+def strings(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, bits: the parities of the set of each text of id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                doc, h = shingle_sets(data, offsets, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), parities.strings(doc, h, b - a)], names=["node", "bits"])
+
+    return texts.mapInArrow(lean(run), "node long, bits binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough; texts: id, text."""
     ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
@@ -163,10 +180,14 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return out
 
 
+def needed(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles sets of these sizes share at least if they are similar."""
+    return np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-9).astype(np.int64)
+
+
 def possible(na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of sets may still be similar, by their sizes and the places of a shared shingle."""
-    need = np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-9)
-    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) - 1 >= need)
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (1 + np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) - 1 >= needed(na, nb, similarity))
 
 
 def labelled(rows: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
@@ -193,32 +214,58 @@ def at_pivots(meetings: DataFrame, labels: DataFrame, similarity: float, seed: i
     return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def candidates(meetings: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """a, b, c (how many first shingles they share): all pairs of different classes that may be similar."""
+def mixed(meetings: DataFrame, labels: DataFrame) -> DataFrame:
+    """meetings with label, the class of the node, of those shingles at which several classes meet."""
     rows = labelled(meetings, "node", labels, "label")
-    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    return rows.join(several, "token", "left_semi")
+
+
+def across(rows: DataFrame, bits: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """a, b, na, nb: the pairs of different classes that may be similar, for each shingle at which they meet; with forest, only
+    so many of a pair of blocks as connect the same classes. rows: as mixed gives them; bits: node, bits of those in large groups."""
     keys = ["token", "bi", "bj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, at in blocks.groups(batches, keys):
             node, n, pos, label, b, bi, bj = (part.column(c).to_numpy() for c in ("node", "n", "pos", "label", "b", "bi", "bj"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            n, pos, strings = n.astype(np.int64), pos.astype(np.int64), parities.Parities(part.column("bits"))
             # rows of one class stand together: each row only meets what comes after its class
             new = np.ones(len(node) + 1, bool)
             new[1:-1] = label[1:] != label[:-1]
             new[at] = True
             edges = np.flatnonzero(new)
             after = np.repeat(edges[1:], np.diff(edges))
-            for i, j in blocks.index_pairs(at, after):
-                ok = ((bi[i] == bj[i]) | (b[i] != b[j])) & possible(n[i], n[j], pos[i], pos[j], similarity)
-                i, j = i[ok], j[ok]
+            own = np.cumsum(new[:-1]) - 1
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
                 swap = node[i] > node[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(n[i]), pa.array(n[j])], names=["a", "b", "na", "nb"])
+                return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(n[i]), pa.array(n[j])], names=["a", "b", "na", "nb"])
 
-    open_ = rows.join(mixed, "token", "left_semi")
-    dealt = blocks.met(open_, "node", "size").select(*keys, "b", "label", "node", "n", "pos").repartition(*keys).sortWithinPartitions(*keys, "label", "node")
-    told = dealt.mapInArrow(lean(run), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+            held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)
+            for i, j in blocks.index_pairs(at, after):
+                ok = ((bi[i] == bj[i]) | (b[i] != b[j])) & possible(n[i], n[j], pos[i], pos[j], similarity)
+                i, j = i[ok], j[ok]
+                apart = strings.apart(i, j)
+                ok = apart <= n[i] + n[j] - 2 * needed(n[i], n[j], similarity)
+                i, j, apart = i[ok], j[ok], apart[ok] / (n[i[ok]] + n[j[ok]])
+                if forest:
+                    held = tuple(np.concatenate(x) for x in zip(held, (i, j, apart), strict=True))
+                    stay = blocks.spanning(len(edges) - 1, own[held[0]], own[held[1]], held[2])
+                    held = tuple(x[stay] for x in held)
+                else:
+                    yield pairs(i, j)
+            yield pairs(*held[:2])
+
+    met = blocks.met(rows.join(bits, "node", "left"), "node", "size")
+    dealt = met.select(*keys, "b", "label", "node", "n", "pos", "bits").repartition(*keys).sortWithinPartitions(*keys, "label", "node")
+    return dealt.mapInArrow(lean(run), "a long, b long, na long, nb long")
+
+
+def candidates(meetings: DataFrame, labels: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """a, b, c (how many first shingles they share): all pairs of different classes that may be similar."""
+    told = across(mixed(meetings, labels), bits, similarity, False).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     # beyond the shared first shingles two sets share no more than what follows the prefix of one of them
     rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
@@ -272,7 +319,16 @@ def similar_rows(rows: DataFrame, row_col: str = ROW, text_col: str = "text", sh
                 break
             links = links.unionByName(verified(pairs, texts, shingle, similarity, scratch))
             labels = joined(links, scratch)
-        left, most = scratch.table(candidates(meetings, labels, similarity), "candidates"), FIRST_PAIRS
+        large = meetings.where(F.col("size") >= PIVOT_GROUP)
+        ids = scratch.table(mixed(large, labels).select(F.col("node").alias("id")).distinct(), "in-large-groups")
+        bits = scratch.table(strings(chosen(texts, ids, "id", ids.count()), shingle), "parities")
+        for _ in range(FOREST_ROUNDS):
+            pairs = scratch.table(across(mixed(large, labels), bits, similarity, True).select("a", "b").distinct(), "forest-pairs")
+            if pairs.isEmpty() or (more := verified(pairs, texts, shingle, similarity, scratch)).isEmpty():
+                break
+            links = links.unionByName(more)
+            labels = joined(links, scratch)
+        left, most = scratch.table(candidates(meetings, labels, bits, similarity), "candidates"), FIRST_PAIRS
         while True:
             apart = labelled(labelled(left.select("a", "b", "c"), "a", labels, "la"), "b", labels, "lb").where("la <> lb")
             likely = F.row_number().over(Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("c"), "a", "b"))
